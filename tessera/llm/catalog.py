@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, packing, sharding
+from tessera.llm import decontam, packing, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_array_decontamination": decontam.query,
+        "op7_warc_zstd": warc.query,
         "op8_lpt_sharding": sharding.query,
         "op9_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_decontamination": decontam.SQL}
+    return {"op2_suffix_array_decontamination": decontam.SQL, "op7_warc_zstd": warc.SQL}
