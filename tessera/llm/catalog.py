@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, packing, sharding, warc
+from tessera.llm import decontam, packing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_array_decontamination": decontam.query,
+        "op6_boosted_quality": quality.query,
         "op7_warc_zstd": warc.query,
         "op8_lpt_sharding": sharding.query,
         "op9_best_fit_packing": packing.query,

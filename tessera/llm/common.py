@@ -88,3 +88,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
                 begin, size = i + 1, 0
         if begin < n:
             yield batch.slice(begin, n - begin)
+
+
+#: Label rows with this remainder of crc32(doc_id as text) mod 4 are held out from every fit.
+HELD_OUT = 2
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT
+
+
+def labelled(labels: DataFrame, column: str, most: int) -> list[tuple[int, int]]:
+    """(doc_id, label) of about `most` training labels at most, picked evenly by a hash of doc_id.
+
+    Held-out rows, null ids and null labels are left out; of several labels of one document the greatest counts.
+    """
+    rows = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias(column))
+    n = rows.count()
+    if n > most:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
+    return sorted((r[0], int(r[1])) for r in rows.collect())
