@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, packing, quality, sharding, warc
+from tessera.llm import decontam, packing, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nnpu_toxicity": toxicity.query,
         "op2_suffix_array_decontamination": decontam.query,
         "op6_boosted_quality": quality.query,
         "op7_warc_zstd": warc.query,
