@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the words of a text is fitted with numpy on the driver from confirmed toxic documents and
+A linear classifier over the words of a text and their beginnings (inflected and compound forms share them) is fitted with numpy on the driver from confirmed toxic documents and
 unlabelled ones. The risk is estimated with the class prior: prior * (loss of positives as positive) + max(0, loss of
 unlabelled as negative - prior * loss of positives as negative); where the second part goes below zero, its gradient is
 turned round, which keeps the classifier from explaining single positives. Labels of training rows then calibrate the
@@ -13,6 +13,7 @@ confirmed toxic rows every score is 0; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,16 +33,44 @@ MOST_WORDS = 4096
 LEAST_DOCS = 3
 
 
+#: Lengths in bytes of a word's beginnings; how many different words with one beginning make a feature of their own.
+BEGINNINGS = (5, 6, 7, 8)
+LEVELS = (1, 2, 3, 5)
+
+
+def features(text: str | None) -> list[bytes]:
+    """Distinct features: "=word", "n^beginning" where at least n different words begin so, "#k" for 2^k words or more."""
+    found = set(words(text))
+    begun = Counter(w[:n] for w in found for n in BEGINNINGS if len(w) > n)
+    out = [b"=" + w for w in found]
+    out += [b"%d^%s" % (n, b) for b, k in begun.items() for n in LEVELS if k >= n]
+    out += [b"#%d" % k for k in range(len(found).bit_length())]
+    return out
+
+
 class Model(NamedTuple):
     weights: dict[bytes, float]
     intercept: float
     slope: float  # calibration: probability = sigmoid(slope * margin + shift)
     shift: float
+    starts: frozenset  # the first five bytes of every word that a weighted feature can concern
 
     def score(self, text: str | None) -> float:
-        margin = self.intercept
-        for w in set(words(text)):
-            margin += self.weights.get(w, 0.0)
+        """As over features(text), but only features with a weight are built."""
+        get, starts = self.weights.get, self.starts
+        found = set(words(text))
+        margin = self.intercept + sum(get(b"#%d" % k, 0.0) for k in range(len(found).bit_length()))
+        begun: dict[bytes, int] = {}
+        for w in found:
+            if w[:5] in starts:
+                margin += get(b"=" + w, 0.0)
+                for n in BEGINNINGS:
+                    if len(w) > n:
+                        begun[w[:n]] = begun.get(w[:n], 0) + 1
+        for b, k in begun.items():
+            for n in LEVELS:
+                if k >= n:
+                    margin += get(b"%d^%s" % (n, b), 0.0)
         return float(_sigmoid(self.slope * margin + self.shift))
 
 
@@ -108,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [list(set(words(t))) for t in batch.column(1).to_pylist()]
+            found = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary())), batch.column(2), batch.column(3)], names=["doc_id", "words", "label", "unlabelled"])
 
     # a repeated id counts once, so that neither sample outgrows its bound
@@ -136,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, mo
     w, b = nnpu(lists(lambda r: r[2] == 1), lists(lambda r: r[3]), prior)
     z = lists(lambda r: r[2] is not None).times(w) + b
     slope, shift = calibrate(z, np.array([r[2] for r in told], np.float64))
-    return Model({x: float(w[i]) for x, i in number.items()}, b, slope, shift)
+    starts = frozenset(f.partition(f[:1] if f[:1] == b"=" else b"^")[2][:5] for f in number if f[:1] != b"#")
+    return Model({x: float(w[i]) for x, i in number.items()}, b, slope, shift, starts)
 
 
 def report(docs: DataFrame, model: Model | None) -> DataFrame:
