@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, packing, quality, sharding, toxicity, warc
+from tessera.llm import decontam, neardup, packing, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc_zstd": warc.query,
         "op8_lpt_sharding": sharding.query,
         "op9_best_fit_packing": packing.query,
+        "op10_order_minhash": neardup.query,
     }
 
 
