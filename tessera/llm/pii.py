@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import product
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,6 +115,22 @@ VALID = [
 NEAR = [lambda m: F.lit(True), lambda m: F.lit(True), lambda m: _digit_count(m, 14, 19), lambda m: _digit_count(m, 7, 16)]
 
 
+def _iban(m: Column) -> Column:
+    """Whether an IBAN's remainder modulo 97 is 1."""
+    plain = F.regexp_replace(m, " ", "")
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+
+    def step(acc: Column, i: Column) -> Column:
+        c = F.ascii(F.substring(turned, i, F.lit(1)))
+        return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+
+
+#: The validators; email addresses and names have none, so that labeler is silent there.
+CHECKS = {"email": None, "ip": octets, "card": luhn, "phone": VALID[3], "iban": _iban, "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), "name": None}
+
+
 def _searched(rows: DataFrame, name: str, pattern: str, keep, needs: list[str]) -> DataFrame:
     """Add column `name`: the spans of pattern in `text` that keep() takes, in order.
 
@@ -136,7 +153,7 @@ def _searched(rows: DataFrame, name: str, pattern: str, keep, needs: list[str])
     return rows.withColumn(name, F.when(F.size("_found") > 0, spans).otherwise(none)).drop("_found", "_gaps")
 
 
-def _votes(kind: int, span: Column, form: Column, valid: Column) -> Column:
+def _votes(kind: int, span: Column, form: Column | None, valid: Column | None) -> Column:
     """The pattern of a candidate: kind, five votes (0 no, 1 silent, 2 yes) and a bucket of its length."""
     m = span["m"]
     before = F.lower(F.substring(F.col("text"), F.greatest(span["s"] - CONTEXT + 1, F.lit(1)), F.least(span["s"], F.lit(CONTEXT))))
@@ -156,19 +173,7 @@ def _votes(kind: int, span: Column, form: Column, valid: Column) -> Column:
         # a part of a longer word or key
         against = against | before.rlike("[a-z]$") | F.substring(F.col("text"), span["e"] + 1, F.lit(1)).rlike("[A-Za-z]")
     length = F.when(F.length(m) < 12, 0).when(F.length(m) < 20, 1).otherwise(2)
-    return F.concat_ws("", F.lit(str(kind)), vote(form, "2", "1"), vote(valid, "2", "0"), vote(gazetteer, "2", "1"), vote(before.rlike(CONTEXT_WORDS[kind]), "2", "1"), vote(against, "0", "1"), length.cast("string"))
-
-
-def _iban(m: Column) -> Column:
-    """Whether an IBAN's remainder modulo 97 is 1."""
-    plain = F.regexp_replace(m, " ", "")
-    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
-
-    def step(acc: Column, i: Column) -> Column:
-        c = F.ascii(F.substring(turned, i, F.lit(1)))
-        return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+    return F.concat_ws("", F.lit(str(kind)), F.lit("1") if form is None else vote(form, "2", "1"), F.lit("1") if valid is None else vote(valid, "2", "0"), vote(gazetteer, "2", "1"), vote(before.rlike(CONTEXT_WORDS[kind]), "2", "1"), vote(against, "0", "1"), length.cast("string"))
 
 
 def _on_match(check):
@@ -180,9 +185,9 @@ def _whole(pattern: str):
     return lambda m: m.rlike(f"^(?:{pattern})$")
 
 
-def _candidate(kind: int, base: bool, check):
-    """From a span to a candidate with its votes."""
-    return lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _votes(kind, x, check(x["m"]) if base else F.lit(False), check(x["m"])).alias("p"))
+def _candidate(kind: int, form, check):
+    """From a span to a candidate with its votes; form: the base rule or None, check: the validator or None."""
+    return lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _votes(kind, x, form and form(x["m"]), check and check(x["m"])).alias("p"))
 
 
 def _kind(kind: int):
@@ -201,15 +206,14 @@ def found(docs: DataFrame) -> DataFrame:
         rows = _searched(rows, f"extra_{name}", EXTRA_PATTERNS[EXTRA_KINDS.index(name)], lambda m: F.lit(True), needs)
     for k in range(BASE):
         rows = rows.withColumn(f"base{k}", F.filter(f"near{k}", _on_match(VALID[k])))
-    parts = [F.transform(f"near{k}", _candidate(k, True, VALID[k])) for k in range(BASE)]
+    parts = [F.transform(f"near{k}", _candidate(k, VALID[k], CHECKS[KINDS[k]])) for k in range(BASE)]
     for name, pattern in zip(EXTRA_KINDS, EXTRA_PATTERNS, strict=True):
-        check = {"phone": lambda m: _digit_count(m, 8, 15), "iban": _iban, "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$")}.get(name, lambda m: F.lit(True))
         own = F.col(f"extra_{name}") if name in EXTRA_NEEDS else F.filter("extra", _on_match(_whole(pattern)))
-        parts.append(F.transform(own, _candidate(KINDS.index(name), False, check)))
+        parts.append(F.transform(own, _candidate(KINDS.index(name), None, CHECKS[name])))
     return rows.withColumn("more", F.concat(*parts)).drop("extra", *(f"extra_{name}" for name in EXTRA_NEEDS), *(f"near{k}" for k in range(BASE)))
 
 
-def reliabilities(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], list[float]]:
+def reliabilities(patterns: dict[str, float], rounds: int = 60) -> tuple[dict[str, float], list[float]]:
     """Expectation-maximisation over counted patterns: the posterior of each pattern, and each labeler's reliability."""
     accuracy, prior = [belief for belief, *_ in BELIEFS], {p[0]: 0.5 for p in patterns}
     posterior: dict[str, float] = {}
@@ -222,7 +226,8 @@ def reliabilities(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str,
             posterior[p] = 1 / (1 + math.exp(max(-60.0, min(60.0, no - yes))))
         for k in prior:
             n = sum(c for p, c in patterns.items() if p[0] == k)
-            prior[k] = (sum(c * posterior[p] for p, c in patterns.items() if p[0] == k) + 2) / (n + 4)
+            # at most even: what a candidate needs beyond its shape is evidence of its own
+            prior[k] = min(0.5, (sum(c * posterior[p] for p, c in patterns.items() if p[0] == k) + 2) / (n + 4))
         for j, (belief, weight, least, most) in enumerate(BELIEFS):
             right = sum(c * (posterior[p] if p[1 + j] == "2" else 1 - posterior[p]) for p, c in patterns.items() if p[1 + j] != "1")
             n = sum(c for p, c in patterns.items() if p[1 + j] != "1")
@@ -230,7 +235,7 @@ def reliabilities(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str,
     return posterior, accuracy
 
 
-def fit(patterns: dict[str, int], steps: int = 300, rate: float = 0.5) -> dict[tuple[int, str], float]:
+def fit(patterns: dict[str, float], steps: int = 300, rate: float = 0.5) -> dict[tuple[int, str], float]:
     """A logistic classifier over the places of a pattern, trained on the posteriors; weights by (place, character)."""
     posterior, _ = reliabilities(patterns)
     total = sum(patterns.values())
@@ -253,9 +258,13 @@ def fit(patterns: dict[str, int], steps: int = 300, rate: float = 0.5) -> dict[t
 
 
 def train(docs: DataFrame) -> dict[tuple[int, str], float]:
-    """The span classifier, from the votes on every candidate of docs. The table that is collected has one row a pattern: at most 7 * 3^5 * 3."""
+    """The span classifier, from the votes on every candidate of docs. The table that is collected has one row a pattern, of which there are 1008."""
     counted = found(docs.select("text")).select(F.explode("more.p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
-    return fit({r["p"]: r["n"] for r in counted})
+    # every pattern that can occur weighs a little, so that the classifier is defined for those that the corpus lacks
+    patterns = {"".join(p): 0.1 for p in product(map(str, range(len(KINDS))), "12", "012", "12", "12", "01", "012")}
+    for r in counted:
+        patterns[r["p"]] += r["n"]
+    return fit(patterns)
 
 
 def _spans(rows: DataFrame, weights: dict[tuple[int, str], float]) -> DataFrame:
