@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, neardup, packing, pii, quality, sharding, toxicity, warc
+from tessera.llm import decontam, licences, neardup, packing, pii, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_nnpu_toxicity": toxicity.query,
         "op2_suffix_array_decontamination": decontam.query,
         "op4_weak_supervision_pii": pii.query,
+        "op5_licence_classifier": licences.query,
         "op6_boosted_quality": quality.query,
         "op7_warc_zstd": warc.query,
         "op8_lpt_sharding": sharding.query,
