@@ -259,7 +259,8 @@ def fit(patterns: dict[str, float], steps: int = 300, rate: float = 0.5) -> dict
 
 def train(docs: DataFrame) -> dict[tuple[int, str], float]:
     """The span classifier, from the votes on every candidate of docs. The table that is collected has one row a pattern, of which there are 1008."""
-    counted = found(docs.select("text")).select(F.explode("more.p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+    # explode() would put a filter on the array's size below the searches and so run them twice; explode_outer() does not
+    counted = found(docs.select("text")).select(F.explode_outer("more.p").alias("p")).filter("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
     # every pattern that can occur weighs a little, so that the classifier is defined for those that the corpus lacks
     patterns = {"".join(p): 0.1 for p in product(map(str, range(len(KINDS))), "12", "012", "12", "12", "01", "012")}
     for r in counted:
