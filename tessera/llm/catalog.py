@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, licences, neardup, packing, pii, quality, sharding, toxicity, warc
+from tessera.llm import decontam, licences, mixing, neardup, packing, pii, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nnpu_toxicity": toxicity.query,
         "op2_suffix_array_decontamination": decontam.query,
+        "op3_context_mixing": mixing.query,
         "op4_weak_supervision_pii": pii.query,
         "op5_licence_classifier": licences.query,
         "op6_boosted_quality": quality.query,
