@@ -1,20 +1,47 @@
-"""Corpus preparation: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus preparation: stages over documents, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents: rules reject junk, one document of each group of near
+duplicates stays, documents that hold benchmark passages go, personal data is replaced in the text. The last packs what
+is left into training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing
+from tessera.llm import decontam, neardup, packing, pii, quality
 from tessera.llm.common import stored, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs, pii.train(docs))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicate removal", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Tokenisation and packing have no SQL form; tests/llm holds run() against a brute-force version.
+#: Trained rules, alignment, tokenisation and packing have no SQL form; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -24,8 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import slices, stored, table
 from tessera.llm.decontam import words as ascii_words
@@ -165,17 +167,20 @@ def linked(a: list, b: list) -> bool:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, text, node (a digest of the words) and sketches of each row."""
+    """row (a number), doc (the whole row), node (a digest of its words) and sketches of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             known = _Hashes()
-            found = [words(t) for t in batch.column(1).to_pylist()]
+            found = [words(t) for t in batch.column(0).to_pylist()]
             node = [xxhash.xxh3_128_digest(b" ".join(x)) for x in found]
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SKETCHES, pa.int32()), pa.array(sketch(found, known).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), values], names=["doc_id", "text", "node", "sketches"])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(found))), batch.column(1), pa.array(node, pa.binary()), values], names=["row", "doc", "node", "sketches"])
+            row += len(found)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, node binary, sketches array<long>"), "neardup-nodes")
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema), T.StructField("node", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
+    return stored(docs.select("text", F.struct(*docs.columns).alias("doc")).mapInArrow(run, schema), "neardup-nodes")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -233,7 +238,7 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def classes(rows: DataFrame) -> DataFrame:
     """rows: as of nodes(). node, label for the nodes that are linked to others."""
-    distinct = stored(rows.groupBy("node").agg(F.first("sketches").alias("sketches"), F.min("doc_id").alias("doc_id")), "neardup-distinct")
+    distinct = stored(rows.groupBy("node").agg(F.first("sketches").alias("sketches"), F.min("row").alias("row")), "neardup-distinct")
     links, labels, texts, members = None, None, None, None
     for width in ROUNDS:
         if members is None:
@@ -246,8 +251,8 @@ def classes(rows: DataFrame) -> DataFrame:
         if texts is None:
             # one text of each candidate; later rounds have no others
             ends = stars.select("node").unionAll(stars.select(F.col("rep").alias("node"))).distinct()
-            picked = distinct.select("node", "doc_id").join(ends, "node", "left_semi")
-            texts = stored(rows.select("node", "doc_id", "text").join(picked, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "neardup-texts")
+            picked = distinct.select("node", "row").join(ends, "node", "left_semi").select("row")
+            texts = stored(rows.select("row", "node", F.col("doc.text").alias("text")).join(picked, "row", "left_semi").select("node", "text"), "neardup-texts")
         votes = stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes"))
         if labels is None:
             # most nodes need one alignment: with the node that they meet most often
@@ -268,19 +273,20 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), class_size for every row of docs."""
-    rows = nodes(docs)
-    slim = rows.select("doc_id", "node")
+    rows = nodes(docs.select("doc_id", "text"))
+    slim = rows.select(F.col("doc.doc_id").alias("doc_id"), "node")
     named = slim.join(classes(rows), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     sized = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(sized, "label").select("doc_id", "class_id", "class_size")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs of each class, the one with the least doc_id, with all columns."""
-    kept = report(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi")
-    # copies of a row under one id: any one of them
-    return first.dropDuplicates(["doc_id"])
+    """One row of docs of each class, that with the least doc_id (null ids last), with all columns."""
+    rows = nodes(docs)
+    named = rows.select("row", F.col("doc.doc_id").alias("doc_id"), "node").join(classes(rows), "node", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    first = named.groupBy(F.coalesce("label", "node").alias("label")).agg(least).select("least.row")
+    return rows.select("row", "doc").join(first, "row", "left_semi").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
