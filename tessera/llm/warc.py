@@ -140,7 +140,7 @@ def write_archive(path: str, records: Iterator[bytes]) -> tuple[int, int]:
     compress = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained)).compress
     system, place = _file_system(path)
     n = done = 0
-    with system.open_output_stream(place) as out:
+    with system.open_output_stream(place, compression=None) as out:
         out.write(struct.pack("<II", SKIPPABLE, len(trained)) + trained)
         for r in held:
             done += out.write(compress(r)) or 0
@@ -156,7 +156,7 @@ def write_archive(path: str, records: Iterator[bytes]) -> tuple[int, int]:
 def read_archive(path: str) -> Iterator[Record]:
     """The records of one archive, one frame in memory at a time."""
     system, place = _file_system(path)
-    with system.open_input_stream(place) as source:
+    with system.open_input_stream(place, compression=None) as source:
         magic, n = struct.unpack("<II", source.read(8).ljust(8, b"\0"))
         if magic != SKIPPABLE:
             raise ValueError(f"{path}: no dictionary frame leads")
