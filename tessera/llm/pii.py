@@ -131,6 +131,10 @@ def _iban(m: Column) -> Column:
 CHECKS = {"email": None, "ip": octets, "card": luhn, "phone": VALID[3], "iban": _iban, "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), "name": None}
 
 
+#: Strict forms of the candidates beyond the base patterns: a spelled-out dot, a title before the name.
+FORMS = {"email": lambda m: m.rlike(r"[\[(]dot[\])]"), "name": lambda m: m.rlike(rf"^(?:{TITLES})\b")}
+
+
 def _searched(rows: DataFrame, name: str, pattern: str, keep, needs: list[str]) -> DataFrame:
     """Add column `name`: the spans of pattern in `text` that keep() takes, in order.
 
@@ -209,7 +213,7 @@ def found(docs: DataFrame) -> DataFrame:
     parts = [F.transform(f"near{k}", _candidate(k, VALID[k], CHECKS[KINDS[k]])) for k in range(BASE)]
     for name, pattern in zip(EXTRA_KINDS, EXTRA_PATTERNS, strict=True):
         own = F.col(f"extra_{name}") if name in EXTRA_NEEDS else F.filter("extra", _on_match(_whole(pattern)))
-        parts.append(F.transform(own, _candidate(KINDS.index(name), None, CHECKS[name])))
+        parts.append(F.transform(own, _candidate(KINDS.index(name), FORMS.get(name), CHECKS[name])))
     return rows.withColumn("more", F.concat(*parts)).drop("extra", *(f"extra_{name}" for name in EXTRA_NEEDS), *(f"near{k}" for k in range(BASE)))
 
 
