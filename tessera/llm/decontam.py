@@ -235,7 +235,13 @@ def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    # several blocks: each pass leaves the hit words and items of the documents that it hits; rows are told apart by id and text
+    both = _in_passes(docs, parts)
+    return both.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _in_passes(docs: DataFrame, parts: list[Queries]) -> DataFrame:
+    """report() over several blocks, and the digest of each row's text: each pass leaves the hit words and items of the documents that it
+    hits; rows are told apart by id and text."""
     keyed = docs.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("digest"))
     found = None
     for q in parts:
@@ -260,18 +266,18 @@ def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "digest", "n_words"])
 
     counted = keyed.mapInArrow(count, "doc_id long, digest string, n_words long")
-    both = counted.alias("c").join(each.alias("e"), (F.col("c.doc_id") == F.col("e.doc_id")) & F.col("c.digest").eqNullSafe(F.col("e.digest")), "left")
+    both = counted.alias("c").join(each.alias("e"), F.col("c.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("c.digest").eqNullSafe(F.col("e.digest")), "left")
     n_hit = F.coalesce(F.size("e.hit"), F.lit(0)).cast("long")
     ids = F.coalesce(F.array_sort(F.transform("e.items", lambda x: x.cast("string"))), F.array().cast("array<string>"))
-    return both.select("c.doc_id", "c.n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= F.col("c.n_words"))).alias("contaminated"))
+    return both.select("c.doc_id", "c.digest", "c.n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= F.col("c.n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the contaminated rows, with all columns. A text's verdict is the sum over all blocks, so several blocks go by way of report()."""
     parts = list(blocks(benchmark, block_bytes))
     if len(parts) > 1:
-        bad = report(docs, benchmark, block_bytes).filter("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+        bad = _in_passes(docs.select("doc_id", "text"), parts).filter("contaminated").select(F.col("digest").alias("_digest")).distinct()
+        return docs.join(bad, F.sha2(docs["text"], 256) == bad["_digest"], "left_anti").select(docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(parts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
