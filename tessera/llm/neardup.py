@@ -11,7 +11,7 @@ compared with the bucket's least node alone; pairs that are already connected ar
 least node is unrelated to others (a passage that many texts share), those others go on with finer buckets of several
 sketches at once, so that a link hidden behind an unrelated node is found among the rest. No bucket is capped.
 
-Cases: null and empty texts are one class of copies; texts of fewer than K words have one k-mer of all their words; a
+Cases: null, empty and blank texts are one class of copies; other texts without words are copies where they are equal; texts of fewer than K words have one k-mer of all their words; a
 repeated row is a copy; rows with one doc_id and different texts each keep their class; an empty table gives an empty result;
 other columns are kept by representatives() and ignored elsewhere.
 """
@@ -161,11 +161,18 @@ def linked(a: list, b: list) -> bool:
     """Whether the alignment of two word lists has similarity 0.8 or more. Words in common bound it before any alignment."""
     longest = max(len(a), len(b))
     most = longest // EDITS_IN
+    if not longest:
+        return False  # marks alone are no words to align
     if abs(len(a) - len(b)) > most or longest - sum((Counter(a) & Counter(b)).values()) > most:
         return False
     return edits(a, b, most) is not None
 
 
+def _digest(found: list[bytes], text: str | None) -> bytes:
+    """Equal for equal word sequences; texts without words (but for blanks) are told apart as they are."""
+    return xxhash.xxh3_128_digest(b" ".join(found) if found else b"\0" + (text or "").strip().encode("utf-8", "surrogatepass"))
+
+
 def nodes(docs: DataFrame) -> DataFrame:
     """row (a number), doc (the whole row), node (a digest of its words) and sketches of each row of docs."""
 
@@ -174,7 +181,7 @@ def nodes(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             known = _Hashes()
             found = [words(t) for t in batch.column(0).to_pylist()]
-            node = [xxhash.xxh3_128_digest(b" ".join(x)) for x in found]
+            node = [_digest(x, t) for x, t in zip(found, batch.column(0).to_pylist(), strict=True)]
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SKETCHES, pa.int32()), pa.array(sketch(found, known).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(found))), batch.column(1), pa.array(node, pa.binary()), values], names=["row", "doc", "node", "sketches"])
             row += len(found)

@@ -60,7 +60,11 @@ def brute_classes(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if words[i] == words[j] or 5 * distance(words[i], words[j]) <= max(len(words[i]), len(words[j])):
+            if not words[i] or not words[j]:
+                linked = not words[i] and not words[j] and (texts[i] or "") == (texts[j] or "")
+            else:
+                linked = words[i] == words[j] or 5 * distance(words[i], words[j]) <= max(len(words[i]), len(words[j]))
+            if linked:
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     return [root(i) for i in range(len(texts))]
 
@@ -82,7 +86,7 @@ def corpus():
     texts += [passage + say(60) for _ in range(15)]  # a passage that unrelated texts share
     hub = say(90)
     texts += [[*hub[: 90 - k], *say(k)] for k in (0, 3, 6, 9)]
-    return [" ".join(t) for t in texts] + ["", None, "!!", "One two.", "one TWO", "a b c d e", "a b c d e f", texts[0] and " ".join(texts[0]).upper()]
+    return [" ".join(t) for t in texts] + ["", None, "!!", "??", "!!", "One two.", "one TWO", "a b c d e", "a b c d e f", texts[0] and " ".join(texts[0]).upper()]
 
 
 def test_classes_against_brute_force(frame):
