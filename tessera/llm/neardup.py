@@ -6,10 +6,11 @@ order: two texts agree on a sketch when they share those k-mers in the same orde
 edit distance. Texts that share a sketch are candidates, and a pair is a link when a banded alignment of its words needs
 at most a fifth of the longer text's length in edits (similarity 0.8 or more). Classes are the connected components.
 
-Groups never expand into pairs. Equal word sequences fold into one node first. In each bucket of a sketch all nodes are
-compared with the bucket's least node alone; pairs that are already connected are not aligned again. Where a bucket's
-least node is unrelated to others (a passage that many texts share), those others go on with finer buckets of several
-sketches at once, so that a link hidden behind an unrelated node is found among the rest. No bucket is capped.
+Equal word sequences fold into one node first. In each bucket of an order sketch all nodes are compared with the bucket's
+least node, which connects most groups. Then every pair that shares any key and is not connected is tested: buckets that
+still hold several classes are cut by length (a link's lengths differ by a fifth at most) and into blocks, and a task
+tests the pairs of two blocks against a bound on the edits from bags of words. Only what the bound leaves becomes rows
+and is aligned. No bucket is capped.
 
 Cases: null, empty and blank texts are one class of copies; other texts without words are copies where they are equal; texts of fewer than K words have one k-mer of all their words; a
 repeated row is a copy; rows with one doc_id and different texts each keep their class; an empty table gives an empty result;
@@ -20,12 +21,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +39,10 @@ SKETCHES = 24
 TAKE = 2
 #: A link needs edits * EDITS_IN <= words of the longer text: similarity 0.8.
 EDITS_IN = 5
-#: Sketches that a bucket's key joins in each round.
-ROUNDS = (1, 2, 4)
+#: Counters in the bag of words that bounds the edits of a pair.
+BAG = 128
+#: About how many nodes of a bucket meet as many others in a task.
+BLOCK = 1024
 
 _ODD = np.random.default_rng(11).integers(1, 2**63, (SKETCHES, 2), np.uint64) | np.uint64(1)
 
@@ -88,7 +92,7 @@ def sketch(found: list[list[bytes]], known: _Hashes | None = None) -> np.ndarray
     starts = np.cumsum(kmers) - kmers
     last = np.uint64(2**64 - 1)
     for s in range(SKETCHES):
-        v = _mix_light(x, s)
+        v = _mix_light(x, _ODD[s])
         key = np.full(n_docs, s + 1, np.uint64)
         least = []
         for _ in range(TAKE):
@@ -105,13 +109,19 @@ def sketch(found: list[list[bytes]], known: _Hashes | None = None) -> np.ndarray
     return out
 
 
-def _mix_light(x: np.ndarray, s: int) -> np.ndarray:
-    v = (x ^ _ODD[s, 1]) * _ODD[s, 0]
+def _mix_light(x: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    v = (x ^ odd[1]) * odd[0]
     v ^= v >> np.uint64(32)
-    v *= _ODD[s, 0]
+    v *= odd[0]
     return v
 
 
+def bags(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text BAG capped counts of hashed words. w: the words' hashes, text by text."""
+    cell = np.repeat(np.arange(len(sizes)) * BAG, sizes) + (w % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(sizes) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
+
+
 def edits(a: list, b: list, most: int) -> int | None:
     """Word edits from a to b if at most `most`, else None: the furthest reach of each diagonal of the band, edit by edit."""
     n, m = len(a), len(b)
@@ -174,7 +184,7 @@ def _digest(found: list[bytes], text: str | None) -> bytes:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """row (a number), doc (the whole row), node (a digest of its words) and sketches of each row of docs."""
+    """row (a number), doc (the whole row), node (a digest of its words), sketches, bag and size (in words) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -183,10 +193,15 @@ def nodes(docs: DataFrame) -> DataFrame:
             found = [words(t) for t in batch.column(0).to_pylist()]
             node = [_digest(x, t) for x, t in zip(found, batch.column(0).to_pylist(), strict=True)]
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SKETCHES, pa.int32()), pa.array(sketch(found, known).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(found))), batch.column(1), pa.array(node, pa.binary()), values], names=["row", "doc", "node", "sketches"])
+            sizes = np.array([len(x) for x in found], np.int64)
+            w = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.uint64, sizes.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row + np.arange(len(found))), batch.column(1), pa.array(node, pa.binary()), values, pa.array([b.tobytes() for b in bags(w, sizes)], pa.binary()), pa.array(sizes, pa.int32())],
+                names=["row", "doc", "node", "sketches", "bag", "size"],
+            )
             row += len(found)
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema), T.StructField("node", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema), T.StructField("node", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("bag", T.BinaryType()), T.StructField("size", T.IntegerType())])
     return stored(docs.select("text", F.struct(*docs.columns).alias("doc")).mapInArrow(run, schema), "neardup-nodes")
 
 
@@ -243,38 +258,105 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.join(mine, "node", "left").join(other, "rep", "left").filter(F.coalesce("_mine", "node") != F.coalesce("_other", "rep")).drop("_mine", "_other")
 
 
+def _bounded(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The pairs of nodes within the cells of t (sorted by cell and size) that are not connected and may be links."""
+    cell, size, label, upper, salt, alone = (t[c].to_numpy() for c in ("cell", "size", "label", "upper", "salt", "alone"))
+    node, n = t["node"].combine_chunks(), size.astype(np.int64)
+    bag = np.frombuffer(b"".join(t["bag"].to_pylist()), np.uint8).reshape(-1, BAG)
+    group = np.cumsum(np.concatenate([[0], cell[1:] != cell[:-1]])) << 32
+    # the longer of a link has five quarters of the shorter's words at most
+    width = np.searchsorted(group + n, group + n * EDITS_IN // (EDITS_IN - 1), side="right") - np.arange(1, len(n) + 1)
+    total = np.concatenate([[0], np.cumsum(width)])
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 16), side="right")) - 1)
+        i = np.repeat(np.arange(at, to), width[at:to])
+        j = i + 1 + np.arange(len(i)) - (total[i] - total[at])
+        keep = (label[i] != label[j]) & ~(upper[i] & upper[j]) & (alone[i] | (salt[i] != salt[j]))
+        i, j = i[keep], j[keep]
+        apart = np.abs(bag[i].astype(np.int16) - bag[j]).sum(axis=1, dtype=np.int64)
+        # words not in common are edits: of the longer text, size less what both have
+        keep = 2 * n[j] - (n[i] + n[j] - apart) <= 2 * (n[j] // EDITS_IN)
+        i, j = i[keep], j[keep]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j)), pa.array(label[i]), pa.array(label[j]), pa.array(apart[keep])], names=["a", "b", "mine", "other", "apart"])
+        at = to
+
+
+def _untested(distinct: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, rep, mine, other (their classes so far), apart: all pairs that share a key, are not connected and may be links.
+
+    stars: the order sketches' buckets of several nodes.
+    """
+    known = distinct.filter("size > 0").join(labels, "node", "left").select("row", "node", F.xxhash64(F.coalesce("label", "node")).alias("label"), "size")
+    # lengths of a link lie in one band or in two that are neighbours
+    known = stored(known.withColumn("band", F.floor(F.log(1.26, F.col("size").cast("double"))).cast("int")), "neardup-known")
+    slim = known.select("row", "node", "label", "band")
+    ends = stars.select("key", "node").unionAll(stars.select("key", F.col("rep").alias("node")).distinct())
+    members = ends.join(slim, "node").select("row", "label", "band", "key")
+    bucket = Window.partitionBy("key")
+    several = members.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).filter("lo <> hi")
+    places = F.explode(F.array(*(F.struct((F.col("band") - k).alias("band"), F.lit(k == 1).alias("upper")) for k in (0, 1))))
+    cells = several.select("row", "label", "key", places.alias("p")).select("row", "label", "key", "p.*")
+    cell = Window.partitionBy("key", "band")
+    mixed = cells.select("row", "key", "band", "upper", F.min("label").over(cell).alias("lo"), F.max("label").over(cell).alias("hi"), F.min("upper").over(cell).alias("no_own"), F.count(F.lit(1)).over(cell).alias("n"))
+    dealt = mixed.filter("lo <> hi and not no_own").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("salt", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("row", "upper", "salt", (F.col("salt") == F.col("with")).alias("alone"), F.xxhash64("key", "band", F.least("salt", "with"), F.greatest("salt", "with")).alias("cell"))
+    full = blocks.join(known.join(distinct.select("row", "bag"), "row"), "row").select("cell", "size", "label", "upper", "salt", "alone", "node", "bag")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                t = pa.concat_tables([held, t]) if held is not None else t
+                cell = t["cell"].to_numpy()
+                last = int(np.searchsorted(cell, cell[-1]))
+                held = t.slice(last)
+                if last:
+                    yield from _bounded(t.slice(0, last))
+        if held is not None:
+            yield from _bounded(held)
+
+    pairs = full.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(run, "a binary, b binary, mine long, other long, apart long")
+    ends = pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("rep"), F.least("mine", "other").alias("mine"), F.greatest("mine", "other").alias("other"), "apart")
+    return stored(ends.dropDuplicates(["node", "rep"]), "neardup-untested")
+
+
+def _texts(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and one text of each node of the pairs."""
+    ends = pairs.select("node").unionAll(pairs.select(F.col("rep").alias("node"))).distinct()
+    picked = distinct.select("node", "row").join(ends, "node", "left_semi").select("row")
+    return stored(rows.select("row", "node", F.col("doc.text").alias("text")).join(picked, "row", "left_semi").select("node", "text"), "neardup-texts")
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """rows: as of nodes(). node, label for the nodes that are linked to others."""
-    distinct = stored(rows.groupBy("node").agg(F.first("sketches").alias("sketches"), F.min("row").alias("row")), "neardup-distinct")
-    links, labels, texts, members = None, None, None, None
-    for width in ROUNDS:
-        if members is None:
-            members = distinct.select("node", F.posexplode("sketches").alias("i", "key"))
-        else:
-            # what its bucket's least node is not connected to goes on, in buckets of the next sketches as well
-            keys = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.element_at("sketches", ((F.col("i") + j) % SKETCHES + 1).cast("int")))
-            members = members.join(distinct, "node").select("node", "i", F.xxhash64(F.concat_ws(",", keys.cast("array<string>"))).alias("key"))
-        stars = stored(_stars(members), "neardup-stars")
-        if texts is None:
-            # one text of each candidate; later rounds have no others
-            ends = stars.select("node").unionAll(stars.select(F.col("rep").alias("node"))).distinct()
-            picked = distinct.select("node", "row").join(ends, "node", "left_semi").select("row")
-            texts = stored(rows.select("row", "node", F.col("doc.text").alias("text")).join(picked, "row", "left_semi").select("node", "text"), "neardup-texts")
-        votes = stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes"))
-        if labels is None:
-            # most nodes need one alignment: with the node that they meet most often
-            best = votes.groupBy("node").agg(F.max_by("rep", F.struct("votes", "rep")).alias("rep"))
-            links = _verified(best, texts)
-            labels = stored(components(links), "neardup-labels")
-            votes = votes.join(best, ["node", "rep"], "left_anti")
-        found = _verified(_across(votes.select("node", "rep"), labels), texts)
+    distinct = stored(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("sketches", "bag", "size")), F.min("row").alias("row")), "neardup-distinct")
+    stars = stored(_stars(distinct.select("node", F.explode("sketches").alias("key"))), "neardup-stars")
+    texts = _texts(rows, distinct, stars)
+    votes = stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes"))
+    # most nodes need one alignment: with the node that they meet most often
+    best = votes.groupBy("node").agg(F.max_by("rep", F.struct("votes", "rep")).alias("rep"))
+    links = _verified(best, texts)
+    labels = stored(components(links), "neardup-labels")
+
+    def more(pairs: DataFrame, texts: DataFrame) -> None:
+        nonlocal links, labels
+        found = _verified(_across(pairs.select("node", "rep"), labels), texts)
         if not found.isEmpty():
             links = links.unionAll(found)
             labels = stored(components(links), "neardup-labels")
-        rest = stored(_across(stars, labels).select("node", "i"), "neardup-rest")
-        if rest.isEmpty():
-            break
-        members = rest
+
+    more(votes.join(best, ["node", "rep"], "left_anti"), texts)
+    untested = _untested(distinct, stars, labels)
+    if not untested.isEmpty():
+        texts = _texts(rows, distinct, untested)
+        # of two classes the nearest pair first: what it connects needs no other
+        nearest = stored(untested.groupBy("mine", "other").agg(F.min_by(F.struct("node", "rep"), F.struct("apart", "node", "rep")).alias("p")).select("p.*"), "neardup-nearest")
+        more(nearest, texts)
+        more(untested.join(nearest, ["node", "rep"], "left_anti"), texts)
     return labels
 
 
