@@ -6,6 +6,10 @@ order: two texts agree on a sketch when they share those k-mers in the same orde
 edit distance. Texts that share a sketch are candidates, and a pair is a link when a banded alignment of its words needs
 at most a fifth of the longer text's length in edits (similarity 0.8 or more). Classes are the connected components.
 
+Near the threshold no run of K words may be left, so texts that share one of LEAST min-hashes of SHORT words are candidates
+as well: with an edit in every fifth word two runs of SHORT words in five are still shared. Texts of up to ALL words have
+all their runs of SHORT words as keys, since a link among them leaves at least one (of two words where there are five).
+
 Equal word sequences fold into one node first. In each bucket of an order sketch all nodes are compared with the bucket's
 least node, which connects most groups. Then every pair that shares any key and is not connected is tested: buckets that
 still hold several classes are cut by length (a link's lengths differ by a fifth at most) and into blocks, and a task
@@ -39,11 +43,14 @@ SKETCHES = 24
 TAKE = 2
 #: A link needs edits * EDITS_IN <= words of the longer text: similarity 0.8.
 EDITS_IN = 5
+#: Words and number of the plain min-hashes; texts of at most ALL words have all their runs as keys.
+SHORT, LEAST, ALL = 3, 32, 24
 #: Counters in the bag of words that bounds the edits of a pair.
 BAG = 128
 #: About how many nodes of a bucket meet as many others in a task.
 BLOCK = 1024
 
+_LEAST_ODD = np.random.default_rng(12).integers(1, 2**31, (LEAST, 2)).astype(np.uint32) | np.uint32(1)
 _ODD = np.random.default_rng(11).integers(1, 2**63, (SKETCHES, 2), np.uint64) | np.uint64(1)
 
 
@@ -122,6 +129,38 @@ def bags(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=len(sizes) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
 
 
+def short_keys(w: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each text its keys from runs of SHORT words (int32: keys that collide only make candidates)."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))
+
+    def runs(k: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.flatnonzero((left >= k) & of[doc])
+        x = np.full(len(begin), k, np.uint64)
+        for j in range(k):
+            x = _mix(x + w[begin + j] * np.uint64(2 * j + 3))
+        return (x >> np.uint64(32)).astype(np.uint32), doc[begin]
+
+    x, of = runs(SHORT, sizes >= SHORT)
+    rows = np.flatnonzero(sizes >= SHORT)
+    least = np.zeros((len(sizes), LEAST), np.int32)
+    if len(rows):
+        starts = np.searchsorted(of, rows)
+        for s, (odd, flip) in enumerate(_LEAST_ODD):
+            v = (x ^ flip) * odd
+            v ^= v >> np.uint32(16)
+            v *= odd
+            low = np.minimum.reduceat(v, starts).astype(np.uint64)
+            least[rows, s] = (_mix(low + (np.uint64(s + 1) << np.uint64(32))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    out = list(least)
+    pairs, pair_of = runs(2, sizes <= EDITS_IN)
+    for i in np.flatnonzero(sizes <= ALL).tolist():
+        # all runs for partners that are as short, the least ones for longer partners
+        cuts = [v[slice(*np.searchsorted(at, (i, i + 1)))].view(np.int32) for v, at in ((x, of), (pairs, pair_of))]
+        out[i] = np.unique(np.concatenate([*cuts, least[i]] if sizes[i] >= SHORT else cuts))
+    return out
+
+
 def edits(a: list, b: list, most: int) -> int | None:
     """Word edits from a to b if at most `most`, else None: the furthest reach of each diagonal of the band, edit by edit."""
     n, m = len(a), len(b)
@@ -184,7 +223,7 @@ def _digest(found: list[bytes], text: str | None) -> bytes:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """row (a number), doc (the whole row), node (a digest of its words), sketches, bag and size (in words) of each row of docs."""
+    """row (a number), doc (the whole row), node (a digest of its words), sketches, keys, bag and size (in words) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -195,13 +234,16 @@ def nodes(docs: DataFrame) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SKETCHES, pa.int32()), pa.array(sketch(found, known).ravel()))
             sizes = np.array([len(x) for x in found], np.int64)
             w = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.uint64, sizes.sum())
+            own = short_keys(w, sizes)
+            ends = np.cumsum([0, *map(len, own)])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(len(found))), batch.column(1), pa.array(node, pa.binary()), values, pa.array([b.tobytes() for b in bags(w, sizes)], pa.binary()), pa.array(sizes, pa.int32())],
-                names=["row", "doc", "node", "sketches", "bag", "size"],
+                [pa.array(row + np.arange(len(found))), batch.column(1), pa.array(node, pa.binary()), values, keys, pa.array([b.tobytes() for b in bags(w, sizes)], pa.binary()), pa.array(sizes, pa.int32())],
+                names=["row", "doc", "node", "sketches", "keys", "bag", "size"],
             )
             row += len(found)
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema), T.StructField("node", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("bag", T.BinaryType()), T.StructField("size", T.IntegerType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema), T.StructField("node", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.IntegerType())), T.StructField("bag", T.BinaryType()), T.StructField("size", T.IntegerType())])
     return stored(docs.select("text", F.struct(*docs.columns).alias("doc")).mapInArrow(run, schema), "neardup-nodes")
 
 
@@ -292,8 +334,9 @@ def _untested(distinct: DataFrame, stars: DataFrame, labels: DataFrame) -> DataF
     # lengths of a link lie in one band or in two that are neighbours
     known = stored(known.withColumn("band", F.floor(F.log(1.26, F.col("size").cast("double"))).cast("int")), "neardup-known")
     slim = known.select("row", "node", "label", "band")
+    short = distinct.select("row", "keys").join(slim.drop("node"), "row").select("row", "label", "band", F.explode("keys").alias("key")).withColumn("key", F.col("key").cast("long"))
     ends = stars.select("key", "node").unionAll(stars.select("key", F.col("rep").alias("node")).distinct())
-    members = ends.join(slim, "node").select("row", "label", "band", "key")
+    members = short.unionAll(ends.join(slim, "node").select("row", "label", "band", "key"))
     bucket = Window.partitionBy("key")
     several = members.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).filter("lo <> hi")
     places = F.explode(F.array(*(F.struct((F.col("band") - k).alias("band"), F.lit(k == 1).alias("upper")) for k in (0, 1))))
@@ -333,7 +376,7 @@ def _texts(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def classes(rows: DataFrame) -> DataFrame:
     """rows: as of nodes(). node, label for the nodes that are linked to others."""
-    distinct = stored(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("sketches", "bag", "size")), F.min("row").alias("row")), "neardup-distinct")
+    distinct = stored(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("sketches", "keys", "bag", "size")), F.min("row").alias("row")), "neardup-distinct")
     stars = stored(_stars(distinct.select("node", F.explode("sketches").alias("key"))), "neardup-stars")
     texts = _texts(rows, distinct, stars)
     votes = stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes"))

@@ -124,3 +124,52 @@ def test_edges_of_the_table(frame):
     rows = neardup.report(frame([(7, "a b"), (7, "a b"), (None, "c"), (8, "c"), (9, None)])).collect()
     assert sorted((r.doc_id or 0, r.class_id, r.class_size) for r in rows) == [(0, 8, 2), (7, 7, 2), (7, 7, 2), (8, 8, 2), (9, 9, 1)]
     assert sorted(r.doc_id or 0 for r in neardup.representatives(frame([(7, "a b"), (7, "a b"), (None, "c"), (8, "c"), (None, "d")])).collect()) == [0, 7, 8]
+
+
+def edited(words, rate, draw):
+    """A copy with `rate` of its words replaced by new ones."""
+    t = list(words)
+    for i in draw.sample(range(len(t)), int(len(t) * rate)):
+        t[i] = f"n{draw.randrange(10**9)}"
+    return t
+
+
+def test_links_behind_an_unrelated_least_node(frame):
+    """Copies that are linked to their original alone: the least node of a bucket is mostly another copy."""
+    draw = random.Random(7)
+    first = [f"w{draw.randrange(10**6)}" for _ in range(100)]
+    texts = [" ".join(t) for t in [first, *(edited(first, 0.17, draw) for _ in range(150))]]
+    assert {(r.class_id, r.class_size) for r in neardup.report(frame(texts)).collect()} == {(0, 151)}
+
+
+def test_recall_at_the_threshold(frame):
+    draw = random.Random(8)
+    texts, n_pairs = [], 0
+    for n in (20, 60, 100, 400):
+        for rate in (0.1, 0.15, 0.2):
+            for _ in range(20):
+                first = [f"w{draw.randrange(10**6)}" for _ in range(n)]
+                texts += [" ".join(first), " ".join(edited(first, rate, draw))]
+                n_pairs += 1
+    every_fifth = [f"v{i}" for i in range(100)]
+    texts += [" ".join(every_fifth), " ".join("x" if i % 5 == 4 else w for i, w in enumerate(every_fifth))]
+    rows = {r.doc_id: r.class_id for r in neardup.report(frame(texts)).collect()}
+    assert sum(rows[2 * i] == rows[2 * i + 1] for i in range(n_pairs + 1)) == n_pairs + 1
+    assert len(set(rows.values())) == n_pairs + 1
+
+
+def test_all_classes_against_brute_force(frame):
+    texts = corpus() + ["k l m n o", "k l x n o", "p q r s", "p q z r s"]  # with the short pairs
+    got = {r.doc_id: r.class_id for r in neardup.report(frame(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_blocks_of_a_bucket(frame, monkeypatch):
+    """Unrelated texts that share a passage and fill several blocks, with links among them."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    draw = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    firsts = [passage + [f"w{draw.randrange(10**6)}" for _ in range(60 + k % 30)] for k in range(40)]
+    texts = [" ".join(t) for t in [*firsts, *(edited(t, 0.18, draw) for t in firsts)]]
+    got = {r.doc_id: r.class_id for r in neardup.report(frame(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
