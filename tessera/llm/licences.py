@@ -29,13 +29,16 @@ AGREE = 0.5
 MOST_NEGATIVES = 2_000
 OTHER = "other"
 
-#: Words without which a paragraph is no licence notice; only paragraphs with one are scored.
-ANCHOR = r"(?i)\b(?=[lcrpwsgau])(?:licen[sc]\w*|copyright\w*|copyleft|rights reserved|permission\w*|redistribut\w*|warrant\w*|public domain|creative commons|cc[ -]by|cc0|spdx|gnu|gpl\w*|lgpl\w*|agpl\w*|unlicense\w*)\b"
+#: Words of most licence notices. Templates without them add word pairs of their own (ANCHOR, below).
+_COMMON = r"(?:licen[sc]\w*|copyright\w*|copyleft|rights reserved|permission\w*|redistribut\w*|warrant\w*|public domain|creative commons|cc[ -]by|cc0|spdx|gnu|gpl\w*|lgpl\w*|agpl\w*|unlicense\w*|li[cz]en[czs]\w*|\w+-lizenz)\b"
 
 #: Paragraphs of public licences and usual notices, by family (fixed values).
 TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
+        "Veröffentlicht unter der MIT-Lizenz.",
+        "Publicado bajo la licencia MIT.",
+        "Publié sous la licence MIT.",
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
@@ -112,6 +115,9 @@ TEMPLATES = {
         "Copyright. All rights reserved.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
         "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.",
+        "Alle Rechte vorbehalten.",
+        "Todos los derechos reservados.",
+        "Tous droits réservés.",
     ],
 }
 #: Sentences with the anchors' words that are no notices (fixed values).
@@ -121,6 +127,24 @@ NEGATIVES = [
     "The council may redistribute the funds next year.", "A fishing licence costs ten pounds.", "Die Lizenz kostet zehn Euro im Jahr.", "Copyright law was debated in parliament.", "The public domain of the park is open to all.",
 ]
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Where a line ends or a sentence ends within it, in Java's syntax.
+_CUT = r"\n|(?<=[.!?])\s+(?=\p{Lu})"
+
+
+def _anchor() -> str:
+    """A pattern that finds every sentence of every template: by a common word, or by one of its own three longest word pairs."""
+    pairs = set()
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        for sentence in re.split(r"\n|(?<=[.!?])\s+(?=[A-Z])", text):
+            if not re.search(rf"(?i)\b{_COMMON}", sentence):
+                w = re.findall(_WORD, sentence.lower())
+                pairs |= set(sorted(zip(w, w[1:], strict=False), key=lambda p: (-len(p[0]) - len(p[1]), p))[:3]) or {(x,) for x in w}
+    own = "|".join("[^a-z0-9]+".join(map(re.escape, p)) for p in sorted(pairs))
+    return rf"(?i)\b(?:{_COMMON}|{own})"
+
+
+#: Without a match a paragraph is like no template; only paragraphs with one are scored.
+ANCHOR = _anchor()
 
 
 def ngrams(text: str) -> set[str]:
@@ -139,7 +163,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the text), place, paragraph: all paragraphs with an anchor word."""
     text = text_or_empty()
     rows = docs.select("doc_id", text.alias("text")).filter(F.col("text").rlike(ANCHOR))
-    cut = rows.select("doc_id", F.md5("text").alias("digest"), F.posexplode(F.split("text", r"\n|(?<=[.!?])\s+(?=\p{Lu})")).alias("place", "paragraph"))
+    cut = rows.select("doc_id", F.md5("text").alias("digest"), F.posexplode(F.split("text", _CUT)).alias("place", "paragraph"))
     return cut.filter(F.col("paragraph").rlike(ANCHOR))
 
 

@@ -15,6 +15,18 @@ def test_templates_are_confirmed(frame, model):
     assert all(r.status == "confirmed" and r.family in r.families.split(",") for r in rows.values())
 
 
+def test_every_template_is_found(frame, model):
+    names, texts = zip(*[(f, t) for f, all_of in licences.TEMPLATES.items() for t in all_of], strict=True)
+    rows = {r.doc_id: r for r in licences.report(frame([f"Some prose here.\n{t}\nMore prose." for t in texts]), model).collect()}
+    assert [t for i, t in enumerate(texts) if rows[i].status != "confirmed" or names[i] not in rows[i].families.split(",")] == []
+
+
+def test_every_sentence_of_a_template_is_scored(frame):
+    texts = [t for all_of in licences.TEMPLATES.values() for t in all_of]
+    parts = {r.doc_id: r.n for r in licences.paragraphs(frame(texts)).groupBy("doc_id").agg({"place": "count"}).withColumnRenamed("count(place)", "n").collect()}
+    assert [t for i, t in enumerate(texts) if parts.get(i, 0) != len(licences.re.split(r"(?<=[.!?])\s+(?=[A-Z])", t))] == []
+
+
 def test_others_are_not(frame, model):
     texts = ["", None, "plain prose", "A fishing license was lost near the lake yesterday.", "Copyright law matters to authors in many lands.", "mit der Lizenz"]
     rows = {r.doc_id: r for r in licences.report(frame(texts), model).collect()}
