@@ -1,17 +1,22 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Each shard (a run of whole documents) gets a suffix array over its words: the positions that can begin a match, in
-the order of the word sequences that start there. Every suffix of every benchmark item is looked up in it by binary
-search, over its first WINDOW words (an item of fewer words: all of them); the array's range is every place where
-that suffix matches verbatim, and each place is extended to its longest match. Words that no item has are one symbol
-that matches nothing, and positions with too few known words ahead are left out of the array: no match can begin there.
-
-The documents are neither shuffled nor joined. The benchmark is a stated query set: blocks of at most `block_bytes`
-of text are sent to the executors, one pass for each block, and passes meet in one sum per document.
+Each shard (a run of whole documents) gets a suffix array over its words: every position of every stretch of known
+words that is long enough to hold a match, in the order of the whole suffixes that begin there (a sort by the first
+WINDOW words, then prefix doubling among those that tie). Every suffix of every benchmark item is looked up in it by
+binary search, over its first WINDOW words (an item of fewer words: all of them); the array's range is every place
+where that suffix matches verbatim. What matches is extended to its longest match: the item suffixes that begin alike
+lie in suffix order too, so a binary search among them finds the one that goes on the longest, without looking at all
+pairs. Words that no item has are one symbol that matches nothing.
+
+The documents are neither shuffled nor joined, and one pass does it for any number of blocks: the benchmark is a stated
+query set, cut into blocks of at most `block_bytes` of text. The driver builds and broadcasts one block at a time; a task
+looks a shard up in one block after the other and holds a single block, whatever the benchmark's size.
 
 Cases: a null or empty text has no words, hits nothing and is not contaminated; an item without words has no window;
-repeated rows of documents give equal rows; repeated item_ids count as one item each time in n_items only once; an
-empty benchmark leaves every document clean; other columns are ignored.
+repeated rows of documents give equal rows; items with one item_id count as one item; an item whose id is null counts as
+one item and adds no name to the digest; ids may be of any type; an empty benchmark leaves every document clean; ties for
+the longest match go to the first place in the text; other columns are ignored by report() and matches() and kept by
+clean().
 """
 
 from __future__ import annotations
@@ -24,16 +29,20 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import slices, stored, table
+from tessera.llm.common import slices, table
 
 WINDOW = 13
 #: A document is contaminated when one word in SHARE is hit.
 SHARE = 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
+#: Words that are compared at once where matches are extended.
+STRIDE = 16
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -54,7 +63,7 @@ class Queries:
     lengths: np.ndarray  # words of each distinct window
     low: np.ndarray  # its search keys: the least and the greatest sequence that begins with it
     high: np.ndarray
-    places: np.ndarray  # positions in texts, grouped by window
+    places: np.ndarray  # positions in texts, grouped by window, in suffix order within each
     first: np.ndarray  # of each window's group in places
     least: int
 
@@ -76,6 +85,43 @@ def _rows(ids: np.ndarray, at: np.ndarray, run: np.ndarray) -> np.ndarray:
     return np.where(columns < run[:, None], ids[np.minimum(at[:, None] + columns, len(ids) - 1)], 0)
 
 
+def suffix_array(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in all stretches of at least `least` nonzero ids, in the order of the suffixes that run from them to the stretch's end, and
+    the keys of their first WINDOW ids."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, f"S{4 * WINDOW}")
+    run = _ahead(ids)
+    begins = np.flatnonzero((ids != 0) & (np.concatenate([[0], ids[:-1]]) == 0))
+    long = begins[run[begins] >= least]
+    sizes = run[long]
+    at = np.repeat(long - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    keys = _keys(_rows(ids, at, run[at]))
+    order = np.argsort(keys, kind="stable")
+    at, keys = at[order], keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(at)]
+    rank = np.zeros(len(ids) + 1, np.int64)  # 0 where the stretch has ended
+    rank[at] = np.maximum.accumulate(np.where(new, np.arange(1, len(at) + 1), 0))
+    depth = WINDOW
+    while True:
+        # among ties, what begins `depth` words on decides; where both have ended there, the suffixes are equal
+        group = np.flatnonzero(~new | np.concatenate([~new[1:], [False]])[: len(at)])
+        if not len(group):
+            break
+        place = at[group]
+        rest = np.where(run[place] > depth, rank[np.minimum(place + depth, len(ids))], 0)
+        if not rest.any():
+            break
+        tied = rank[place]
+        order = np.lexsort((rest, tied))
+        at[group] = place[order]
+        tied, rest = tied[order], rest[order]
+        apart = np.concatenate([[True], (tied[1:] != tied[:-1]) | (rest[1:] != rest[:-1])])
+        new[group] = apart
+        rank[at[group]] = np.maximum.accumulate(np.where(apart, group + 1, 0))
+        depth *= 2
+    return at, keys
+
+
 def prepare(items: list[tuple]) -> Queries:
     """items: (item_id, text)."""
     vocabulary: dict[bytes, int] = {}
@@ -95,14 +141,17 @@ def prepare(items: list[tuple]) -> Queries:
     if not len(at):
         none = np.zeros(0, np.int64)
         return Queries({}, [], none, none, none, none, none, none, np.zeros(1, np.int64), WINDOW)
-    rows = _rows(texts, at, run)
-    unique, which = np.unique(np.column_stack([rows, run]), axis=0, return_inverse=True)
-    which = which.ravel()
-    order = np.argsort(which, kind="stable")
-    low, lengths = unique[:, :WINDOW], unique[:, WINDOW]
-    high = np.where(np.arange(WINDOW) < lengths[:, None], low, 0xFFFFFFFF)
-    first = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(unique)))])
-    return Queries(vocabulary, item_ids, texts, np.array(starts, np.int64), lengths, _keys(low), _keys(high), at[order], first, int(run.min()))
+    # suffix order puts equal windows side by side
+    sa, _ = suffix_array(texts, 1)
+    length = np.zeros(len(texts), np.int64)
+    length[at] = run
+    places = sa[length[sa] > 0]
+    rows = np.column_stack([_rows(texts, places, length[places]), length[places]])
+    new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+    unique, lengths = rows[new][:, :WINDOW], rows[new][:, WINDOW]
+    high = np.where(np.arange(WINDOW) < lengths[:, None], unique, 0xFFFFFFFF)
+    first = np.append(np.flatnonzero(new), len(places))
+    return Queries(vocabulary, item_ids, texts, np.array(starts, np.int64), lengths, _keys(unique), _keys(high), places, first, int(run.min()))
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Queries]:
@@ -113,7 +162,8 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Que
         if size >= block_bytes:
             yield prepare(held)
             held, size = [], 0
-    yield prepare(held)
+    if held:
+        yield prepare(held)
 
 
 @dataclass
@@ -124,22 +174,16 @@ class Shard:
     keys: np.ndarray
 
 
-def shard(texts: list, q: Queries) -> tuple[Shard, np.ndarray]:
-    """The suffix array of a run of documents, and their numbers of words."""
-    parts, counts = [], np.zeros(len(texts), np.int64)
-    get = q.vocabulary.get
-    for i, text in enumerate(texts):
-        found = words(text)
-        counts[i] = len(found)
-        parts.append(np.fromiter(map(get, found, repeat(0)), np.int64, len(found)))
+def shard(found: list[list[bytes]], q: Queries) -> Shard:
+    """The suffix array of a run of documents, given as words."""
+    get, counts = q.vocabulary.get, np.array([len(x) for x in found], np.int64)
+    parts = []
+    for x in found:
+        parts.append(np.fromiter(map(get, x, repeat(0)), np.int64, len(x)))
         parts.append(np.zeros(1, np.int64))
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(counts + 1)[:-1]]).astype(np.int64)
-    run = _ahead(ids) if len(ids) else ids
-    at = np.flatnonzero(run >= q.least)
-    keys = _keys(_rows(ids, at, run[at]))
-    order = np.argsort(keys, kind="stable")
-    return Shard(ids, starts, at[order], keys[order]), counts
+    return Shard(ids, starts, *suffix_array(ids, q.least))
 
 
 def occurrences(s: Shard, q: Queries) -> tuple[np.ndarray, np.ndarray]:
@@ -156,25 +200,91 @@ def _spread(window: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(window)), n), q.places[np.repeat(q.first[window], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
 
-def hits(texts: list, q: Queries) -> tuple[np.ndarray, np.ndarray, list[list]]:
-    """Words of each text, a mark on each word of all texts that is hit (with a 0 after each text), item_ids of each text."""
-    s, counts = shard(texts, q)
-    marks, items = np.zeros(len(s.ids) + 1, np.int64), [[] for _ in texts]
-    if len(s.suffixes) and len(q.lengths):
-        window, at = occurrences(s, q)
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + q.lengths[window], -1)
-        doc = np.searchsorted(s.starts, at, "right") - 1
-        pairs = np.unique(np.column_stack([doc, window]), axis=0)
-        index, place = _spread(pairs[:, 1], q)
-        for d, i in np.unique(np.column_stack([pairs[index, 0], np.searchsorted(q.starts, place, "right") - 1]), axis=0):
-            items[d].append(q.item_ids[i])
-    return counts, np.cumsum(marks)[:-1] > 0, items
+def _extended(ids: np.ndarray, at: np.ndarray, texts: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many words are equal from ids[at] and texts[place] on, n of them being known to be."""
+    n, growing, columns = n.copy(), np.arange(len(at)), np.arange(STRIDE)
+    while len(growing):
+        a = ids[np.minimum((at[growing] + n[growing])[:, None] + columns, len(ids) - 1)]
+        b = texts[np.minimum((place[growing] + n[growing])[:, None] + columns, len(texts) - 1)]
+        differ = (a != b) | (a == 0)
+        more = np.where(differ.any(axis=1), differ.argmax(axis=1), STRIDE)
+        n[growing] += more
+        growing = growing[more == STRIDE]
+    return n
+
+
+def longest_each(s: Shard, q: Queries, window: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each occurrence the words of its longest match with any item, and that match's place in the items."""
+    lo, hi = q.first[window].copy(), q.first[window + 1].copy() - 1
+    low = q.lengths[window]
+    best = q.places[lo]
+    n = _extended(s.ids, at, q.texts, best, low)
+    # the suffixes of one window are sorted, so what is next to the place where ours belongs matches it the longest
+    active = np.flatnonzero((lo < hi) & (low == WINDOW))
+    while len(active):
+        mid = (lo[active] + hi[active] + 1) // 2
+        k = _extended(s.ids, at[active], q.texts, q.places[mid], low[active])
+        better = k > n[active]
+        n[active[better]], best[active[better]] = k[better], q.places[mid][better]
+        # an item that has ended sorts before; a word that no item has is 0 and sorts before as well
+        ours, theirs = s.ids[at[active] + k], q.texts[q.places[mid] + k]
+        right = (ours > theirs) | ((ours == theirs) & (ours == 0))
+        lo[active] = np.where(right, mid, lo[active])
+        hi[active] = np.where(right, hi[active], mid - 1)
+        active = active[lo[active] < hi[active]]
+    return n, best
+
+
+@dataclass
+class Found:
+    """What a run of documents shares with the benchmark."""
+
+    counts: np.ndarray  # words of each text
+    marks: np.ndarray  # whether each word of all texts is hit (with a 0 after each text)
+    items: list[set]  # item_ids of each text
+    longest: np.ndarray  # words of each text's longest match, 0 without one
+    longest_at: np.ndarray  # its first word in the text
+    n_hit: np.ndarray
+
+
+def search(texts: list, queries: list[Broadcast]) -> Found:
+    """Look texts up in all blocks (broadcast or plain), one after the other."""
+    words_of = [words(t) for t in texts]
+    counts = np.array([len(x) for x in words_of], np.int64)
+    total = int(counts.sum()) + len(counts)
+    marked, items = np.zeros(total, bool), [set() for _ in texts]
+    longest, longest_at = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for block in queries:
+        q = block.value if isinstance(block, Broadcast) else block
+        s = shard(words_of, q)
+        if len(s.suffixes) and len(q.lengths):
+            window, at = occurrences(s, q)
+            marks = np.zeros(total + 1, np.int64)
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + q.lengths[window], -1)
+            marked |= np.cumsum(marks)[:-1] > 0
+            doc = np.searchsorted(s.starts, at, "right") - 1
+            pairs = np.unique(doc * len(q.lengths) + window)
+            index, place = _spread(pairs % len(q.lengths), q)
+            for d in np.unique((pairs // len(q.lengths))[index] * len(q.item_ids) + np.searchsorted(q.starts, place, "right") - 1).tolist():
+                items[d // len(q.item_ids)].add(q.item_ids[d % len(q.item_ids)])
+            n, _ = longest_each(s, q, window, at)
+            # the longest of each document, the first of these
+            order = np.lexsort((at, -n, doc))
+            top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])] if len(order) else order
+            inside = at[top] - s.starts[doc[top]]
+            better = (n[top] > longest[doc[top]]) | ((n[top] == longest[doc[top]]) & (inside < longest_at[doc[top]]))
+            top, inside = top[better], inside[better]
+            longest[doc[top]], longest_at[doc[top]] = n[top], inside
+        if len(queries) > 1 and isinstance(block, Broadcast):
+            del q, block._value  # a task holds one block at a time
+    n_hit = np.add.reduceat(marked.astype(np.int64), np.cumsum(counts + 1) - counts - 1) if len(texts) else counts
+    return Found(counts, marked, items, longest, longest_at, n_hit)
 
 
 def longest(texts: list, q: Queries) -> list[tuple[int, object, int, int, int]]:
-    """(text's index, item_id, item word, text word, words) of every longest verbatim match."""
-    s, _ = shard(texts, q)
+    """(text's index, item_id, item word, text word, words) of every verbatim match that goes on on neither side."""
+    s = shard([words(t) for t in texts], q)
     if not len(s.suffixes) or not len(q.lengths):
         return []
     window, at = occurrences(s, q)
@@ -182,109 +292,74 @@ def longest(texts: list, q: Queries) -> list[tuple[int, object, int, int, int]]:
     at, n = at[index], q.lengths[window[index]]
     # a match that also holds one word before is part of that longer one
     begins = (at == 0) | (place == 0) | (s.ids[at - 1] == 0) | (s.ids[at - 1] != q.texts[place - 1])
-    at, place, n = at[begins], place[begins], n[begins].copy()
-    growing = np.arange(len(at))
-    while len(growing):
-        a, b = s.ids[at[growing] + n[growing]], q.texts[place[growing] + n[growing]]
-        growing = growing[(a == b) & (a != 0)]
-        n[growing] += 1
+    at, place = at[begins], place[begins]
+    n = _extended(s.ids, at, q.texts, place, n[begins])
     doc, item = np.searchsorted(s.starts, at, "right") - 1, np.searchsorted(q.starts, place, "right") - 1
     return [(int(d), q.item_ids[i], int(p - q.starts[i]), int(a - s.starts[d]), int(k)) for d, i, p, a, k in zip(doc, item, place, at, n, strict=True)]
 
 
+def _sent(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> list[Broadcast]:
+    """The blocks, broadcast one by one: the driver's copy of each lies in a file."""
+    return [docs.sparkSession.sparkContext.broadcast(q) for q in blocks(benchmark, block_bytes)]
+
+
+def _shard_bytes(sent: list[Broadcast]) -> int:
+    """Shards of several passes are larger, so that blocks are loaded less often."""
+    return SHARD_BYTES * (1 + (len(sent) > 1))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, item_word, doc_word, n_words: the longest verbatim matches and where they are."""
-    out = None
-    for q in blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(q)
+    sent = _sent(docs, benchmark, block_bytes)
+    types = [docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType]
+    arrow = [*map(to_arrow_type, types), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "item_id", "item_word", "doc_word", "n_words"]
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, most_bytes=SHARD_BYTES):
-                ids, found = batch.column(0).to_pylist(), longest(batch.column(1).to_pylist(), sent.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most_bytes=SHARD_BYTES):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for block in sent:
+                found = longest(texts, block.value)
                 columns = list(zip(*((ids[d], i, p, a, n) for d, i, p, a, n in found), strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "item_word", "doc_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=names)
+                if len(sent) > 1:
+                    del block._value
 
-        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, item_word long, doc_word long, n_words long")
-        out = found if out is None else out.unionAll(found)
-    return out
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [*types, *[T.LongType()] * 3], strict=True)])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _verdict(n_words, n_hit):
-    return n_hit > 0 and SHARE * n_hit >= n_words
+def _digest(items: set) -> str:
+    return hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest()
 
 
-def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, set(items)))).encode()).hexdigest()
+def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest match), longest_at (its first word in the
+    text; null without a match) for every row of docs."""
+    sent = _sent(docs, benchmark, block_bytes)
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most_bytes=_shard_bytes(sent)):
+            f = search(batch.column(1).to_pylist(), sent)
+            verdict = (f.n_hit > 0) & (SHARE * f.n_hit >= f.counts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(f.counts), pa.array(f.n_hit), pa.array([len(x) for x in f.items], pa.int64()), pa.array([_digest(x) for x in f.items]), pa.array(verdict), pa.array(f.longest), pa.array(f.longest_at, mask=f.longest == 0)],
+                names=names,
+            )
 
-def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    parts = list(blocks(benchmark, block_bytes))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    if len(parts) == 1:
-        sent = docs.sparkSession.sparkContext.broadcast(parts[0])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, most_bytes=SHARD_BYTES):
-                counts, marked, items = hits(batch.column(1).to_pylist(), sent.value)
-                n_hit = np.add.reduceat(marked.astype(np.int64), np.concatenate([[0], np.cumsum(counts + 1)[:-1]]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts), pa.array(n_hit), pa.array([len(set(x)) for x in items], pa.int64()), pa.array([_digest(x) for x in items]), pa.array([bool(_verdict(n, h)) for n, h in zip(counts, n_hit, strict=True)])],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-    both = _in_passes(docs, parts)
-    return both.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-
-
-def _in_passes(docs: DataFrame, parts: list[Queries]) -> DataFrame:
-    """report() over several blocks, and the digest of each row's text: each pass leaves the hit words and items of the documents that it
-    hits; rows are told apart by id and text."""
-    keyed = docs.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("digest"))
-    found = None
-    for q in parts:
-        sent = docs.sparkSession.sparkContext.broadcast(q)
-
-        def sparse(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, most_bytes=SHARD_BYTES):
-                counts, marked, items = hits(batch.column(1).to_pylist(), sent.value)
-                ends = np.cumsum(counts + 1)
-                keep = [i for i, x in enumerate(items) if x]
-                hit = [np.flatnonzero(marked[ends[i] - counts[i] - 1 : ends[i] - 1]) for i in keep]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64())), pa.array(hit, pa.list_(pa.int64())), pa.array([items[i] for i in keep], pa.list_(pa.int64()))], names=["doc_id", "digest", "hit", "items"])
-
-        part = keyed.mapInArrow(sparse, "doc_id long, digest string, hit array<long>, items array<long>")
-        found = part if found is None else found.unionAll(part)
-    # copies of a row give equal arrays, which the set union absorbs
-    each = stored(found.distinct(), "decontam-hits").groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n = [len(words(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "digest", "n_words"])
-
-    counted = keyed.mapInArrow(count, "doc_id long, digest string, n_words long")
-    both = counted.alias("c").join(each.alias("e"), F.col("c.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("c.digest").eqNullSafe(F.col("e.digest")), "left")
-    n_hit = F.coalesce(F.size("e.hit"), F.lit(0)).cast("long")
-    ids = F.coalesce(F.array_sort(F.transform("e.items", lambda x: x.cast("string"))), F.array().cast("array<string>"))
-    return both.select("c.doc_id", "c.digest", "c.n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= F.col("c.n_words"))).alias("contaminated"))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the contaminated rows, with all columns. A text's verdict is the sum over all blocks, so several blocks go by way of report()."""
-    parts = list(blocks(benchmark, block_bytes))
-    if len(parts) > 1:
-        bad = _in_passes(docs.select("doc_id", "text"), parts).filter("contaminated").select(F.col("digest").alias("_digest")).distinct()
-        return docs.join(bad, F.sha2(docs["text"], 256) == bad["_digest"], "left_anti").select(docs.columns)
-    sent = docs.sparkSession.sparkContext.broadcast(parts[0])
+    types = [docs.schema["doc_id"].dataType, *[T.LongType()] * 3, T.StringType(), T.BooleanType(), *[T.LongType()] * 2]
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, share: int | None = None) -> DataFrame:
+    """docs without the affected rows, with all columns: those with any match, or, where share is given, those with one word in `share` hit."""
+    sent = _sent(docs, benchmark, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most_bytes=SHARD_BYTES):
-            counts, marked, _ = hits(batch.column(batch.schema.get_field_index("text")).to_pylist(), sent.value)
-            n_hit = np.add.reduceat(marked.astype(np.int64), np.concatenate([[0], np.cumsum(counts + 1)[:-1]]).astype(np.int64))
-            yield batch.filter(pa.array([not _verdict(n, h) for n, h in zip(counts, n_hit, strict=True)]))
+        for batch in slices(batches, most_bytes=_shard_bytes(sent)):
+            f = search(batch.column(batch.schema.get_field_index("text")).to_pylist(), sent)
+            yield batch.filter(pa.array((f.longest == 0) if share is None else (f.n_hit == 0) | (share * f.n_hit < f.counts)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -296,13 +371,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 with lowered as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 d as (select row_number() over () r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from lowered),
-b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
-bw as (select distinct item_id, least(13, len(w)) k, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') win from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) p from b where len(w) > 0)),
+b as (select row_number() over () q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (select q, item_id, p ip, least(13, len(w)) k, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') win from (select q, item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) p from b where len(w) > 0)),
 dw as (select r, p, k, array_to_string(w[p : p + k - 1], ' ') win from (select r, w, k, unnest(range(1, len(w) - k + 2)) p from d, (select distinct k from bw) where len(w) >= k)),
-m as (select r, p, dw.k, item_id from dw join bw on dw.win = bw.win and dw.k = bw.k),
-h as (select r, count(distinct q) n_hit from (select r, unnest(range(p, p + k)) q from (select distinct r, p, k from m)) group by r),
-i as (select r, count(*) n_items, sha256(string_agg(s, ',' order by s)) sha from (select distinct r, cast(item_id as varchar) s from m) group by r)
+m as (select r, p, dw.k, q, ip, item_id from dw join bw on dw.win = bw.win and dw.k = bw.k),
+h as (select r, count(distinct z) n_hit from (select r, unnest(range(p, p + k)) z from (select distinct r, p, k from m)) group by r),
+i as (select r, count(*) n_items, sha256(coalesce(string_agg(s, ',' order by s), '')) sha from (select distinct r, cast(item_id as varchar) s from m) group by r),
+islands as (select r, k, p, p - row_number() over (partition by r, q, p - ip order by p) island, q, p - ip diagonal from m),
+runs as (select r, min(p) - 1 place, count(*) + k - 1 n from islands group by r, k, q, diagonal, island),
+l as (select r, max(n) longest, arg_max(place, n * 1000000000 - place) longest_at from runs group by r)
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(sha, sha256('')) items_sha256,
-  coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) contaminated
-from d left join h using (r) left join i using (r)
+  coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) contaminated, cast(coalesce(longest, 0) as bigint) longest, cast(longest_at as bigint) longest_at
+from d left join h using (r) left join i using (r) left join l using (r)
 """
