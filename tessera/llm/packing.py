@@ -14,6 +14,7 @@ empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,25 +27,39 @@ from tessera.llm.common import numbered, slices, stored, table
 
 CAPACITY = 2048
 END_ID = 0
+TOKENIZER = "byte_bpe_50k.json"
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE of a tokenizer file: its vocabulary and merges, run by a faster engine with equal ids.
+def encoder(path: str | None):
+    """From a text to the ids that the tokenizers library gives with add_special_tokens=False, by a faster engine of byte-level BPE.
 
-    Merges of such a file are ranked by the ids of what they make, so the vocabulary alone fixes the result; the strings
-    of special tokens in a text are ordinary text. tests/llm holds the ids against the file's own library.
+    Merges of such a file are ranked by the ids of what they make, so the vocabulary alone fixes the result. As in the
+    library's default setting, the strings of the file's added tokens in a text are those tokens, and what lies between them is
+    encoded by itself. tests/llm holds the ids against the library. path None: this machine's byte_bpe_50k.json.
     """
+    import public_tokenizers
     import tiktoken
-    from public_tokenizers import PATTERN
 
-    with open(path, encoding="utf-8") as f:
+    with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         spec = json.load(f)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    special = {x["content"] for x in spec["added_tokens"]}
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    if odd := [x["content"] for x in spec["added_tokens"] if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]]:
+        raise ValueError(f"added tokens that take more than their own string are not served: {odd}")
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    plain = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return plain
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        if not any(map(text.__contains__, added)):
+            return plain(text)
+        return [i for part in cuts.split(text) for i in ([added[part]] if part in added else plain(part))]
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -53,7 +68,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +152,8 @@ def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> tuple[list[tu
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs."""
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs. tokenizer: a path on the executors; None: their
+    own copy of the public file."""
     cuts = stored(pieces(docs, tokenizer, capacity), "pack-pieces")
     lengths = {r[0]: r[1] for r in cuts.groupBy("length").count().collect()}
     runs, _ = best_fit_decreasing(lengths, capacity)

@@ -15,7 +15,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -60,7 +59,7 @@ def test_segment_tree():
 def test_ids_are_the_librarys():
     ours, theirs = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")), library()
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
-    for t in [*texts, "", " ", "a\n\n b\t\r\nc  ", "<|endoftext|> x", "日本語 é ñ ß 😀", "don't I'll", "x" * 5000, "1234567890" * 50, "\x00\x01"]:
+    for t in [*texts, "", " ", "a\n\n b\t\r\nc  ", "<|endoftext|> x", " <|endoftext|>  y<|endoftext|><|endoftext|>\n", "<|endoftext|", "a<|endoftext|>b", "日本語 é ñ ß 😀", "don't I'll", "x" * 5000, "1234567890" * 50, "\x00\x01"]:
         assert ours(t) == theirs(t)
 
 
@@ -94,4 +93,6 @@ def test_pack(frame):
 
 def test_empty_and_repeated(frame):
     assert packing.pack(frame([])).collect() == []
+    long = packing.pack(frame([(1, "word " * 400_000)])).collect()
+    assert len(long) == -(-400_002 // 2048) and sum(r.length for r in long) == 400_002
     assert len(packing.pack(frame([(1, "a"), (1, "a"), (None, None)])).collect()) == 3
