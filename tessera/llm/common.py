@@ -68,6 +68,39 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return within.join(offsets, cells).withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_bucket", "_before", "_at")
 
 
+#: Rows of one key that may meet in a task, and the most keys that are treated as hot.
+HOT_ROWS, HOT_KEYS = 1024, 50_000
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: list[str] | None = None) -> DataFrame:
+    """many joined with one on keys, where a key may have any share of many's rows: each hot key is dealt into several cells.
+
+    A key is hot from HOT_ROWS rows on, or from a HOT_KEYS-th of all rows, so that the table of hot keys is bounded and can be
+    broadcast; rows of one are repeated for each cell of their key. many must be replayable (stored or read), as it is scanned twice.
+    spread: columns whose hash deals the rows (default: all). Null keys match nothing.
+    """
+    n_rows = many.count()
+    if n_rows <= HOT_ROWS:
+        return many.join(one, keys, how)
+    least = max(HOT_ROWS, n_rows // HOT_KEYS)
+    counted = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counted.filter(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = many.join(hot, keys, "left").withColumn("_cell", F.pmod(F.xxhash64(*(spread or many.columns)), parts).cast("int")).drop("_parts")
+    copies = one.join(hot, keys, "left").withColumn("_cell", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_cell"], how).drop("_cell")
+
+
+#: Keys that are broadcast at most.
+BROADCAST_KEYS = 1 << 20
+
+
+def matched(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in ids (one column). Ids are counted: up to BROADCAST_KEYS are broadcast, so that wide rows stay where they are."""
+    ids = stored(ids, "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids.hint("merge"), key, "left_semi")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -6,19 +6,21 @@ order: two texts agree on a sketch when they share those k-mers in the same orde
 edit distance. Texts that share a sketch are candidates, and a pair is a link when a banded alignment of its words needs
 at most a fifth of the longer text's length in edits (similarity 0.8 or more). Classes are the connected components.
 
-Near the threshold no run of K words may be left, so texts that share one of LEAST min-hashes of SHORT words are candidates
-as well: with an edit in every fifth word two runs of SHORT words in five are still shared. Texts of up to ALL words have
-all their runs of SHORT words as keys, since a link among them leaves at least one (of two words where there are five).
-
-Equal word sequences fold into one node first. In each bucket of an order sketch all nodes are compared with the bucket's
-least node, which connects most groups. Then every pair that shares any key and is not connected is tested: buckets that
-still hold several classes are cut by length (a link's lengths differ by a fifth at most) and into blocks, and a task
-tests the pairs of two blocks against a bound on the edits from bags of words. Only what the bound leaves becomes rows
-and is aligned. No bucket is capped.
-
-Cases: null, empty and blank texts are one class of copies; other texts without words are copies where they are equal; texts of fewer than K words have one k-mer of all their words; a
-repeated row is a copy; rows with one doc_id and different texts each keep their class; an empty table gives an empty result;
-other columns are kept by representatives() and ignored elsewhere.
+K is three words: with an edit in every fifth word two runs in five are still shared, while of runs of five words none would
+be. Texts of up to ALL words have all their runs as keys besides, since a link among them leaves at least one (of two
+words where there are five at most), so no link among them is missed; those of up to MIDDLE words have all sketches,
+longer ones, whose k-mers are many, the first SKETCHES of them.
+
+Equal word sequences fold into one node first. In each bucket all nodes are compared with the bucket's least node (within
+a task's rows beforehand, so that a hot bucket sends few rows), which connects most groups. Then every pair that shares a
+key and is not connected is tested: buckets that still hold several classes are cut by length (a link's lengths differ by
+a fifth at most) and into blocks, and a task tests the pairs of two blocks against a bound on the edits from bags of
+words. Only what the bound leaves becomes rows and is aligned. No bucket is capped. Joins deal the rows of hot keys (a
+bucket's least node, a large class, a group of copies) over several tasks.
+
+Cases: null, empty and blank texts are one class of copies; other texts without words are copies where they are equal;
+texts of fewer than four words have copies alone; a repeated row is a copy; rows with one doc_id and different texts each
+keep their class; an empty table gives an empty result; other columns are kept by representatives() and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -35,23 +37,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, stored, table
+from tessera.llm.common import matched, salted_join, slices, stored, table
 from tessera.llm.decontam import words as ascii_words
 
-K = 5
-SKETCHES = 24
+K = 3
+#: Sketches of texts of more and of at most MIDDLE words.
+SKETCHES, MORE, MIDDLE = 32, 64, 64
 TAKE = 2
 #: A link needs edits * EDITS_IN <= words of the longer text: similarity 0.8.
 EDITS_IN = 5
-#: Words and number of the plain min-hashes; texts of at most ALL words have all their runs as keys.
-SHORT, LEAST, ALL = 3, 32, 24
-#: Counters in the bag of words that bounds the edits of a pair.
-BAG = 128
+#: Texts of at most ALL words have all their runs as keys.
+ALL = 24
+#: Counters in the bag of words that bounds the edits of a pair: about one a word, in powers of two, between these.
+LEAST_BAG, MOST_BAG = 64, 2048
 #: About how many nodes of a bucket meet as many others in a task.
 BLOCK = 1024
 
-_LEAST_ODD = np.random.default_rng(12).integers(1, 2**31, (LEAST, 2)).astype(np.uint32) | np.uint32(1)
-_ODD = np.random.default_rng(11).integers(1, 2**63, (SKETCHES, 2), np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(11).integers(1, 2**31, (MORE, 2)).astype(np.uint32) | np.uint32(1)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -70,95 +72,96 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(found: list[list[bytes]], known: _Hashes | None = None) -> np.ndarray:
-    """SKETCHES values for each list of words (int64)."""
-    known = _Hashes() if known is None else known
-    n_docs = len(found)
-    out = np.zeros((n_docs, SKETCHES), np.int64)
-    sizes = np.array([len(x) for x in found], np.int64)
-    # padded to K words, so that each text has at least one k-mer
-    parts = [np.fromiter(map(known.__getitem__, x), np.uint64, len(x)) if len(x) >= K else np.array([*map(known.__getitem__, x), *[len(x)] * (K - len(x))], np.uint64) for x in found]
-    w = np.concatenate([*parts, np.zeros(0, np.uint64)])
-    if not len(w):
-        return out
-    size = np.maximum(sizes, K)
-    kmers = size - K + 1
-    doc = np.repeat(np.arange(n_docs), kmers)
-    begin = np.repeat(np.cumsum(size) - size - (np.cumsum(kmers) - kmers), kmers) + np.arange(kmers.sum())
-    x = np.zeros(len(begin), np.uint64)
-    for j in range(K):
+def _runs(w: np.ndarray, sizes: np.ndarray, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of k words of the marked texts, and how many each of these has. w: the words' hashes, text by text."""
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))
+    begin = np.flatnonzero((left >= k) & np.repeat(rows, sizes))
+    x = np.full(len(begin), k, np.uint64)
+    for j in range(k):
         x = _mix(x + w[begin + j] * np.uint64(2 * j + 3))
-    # occurrence labels: the r-th equal k-mer of a text gets a hash of its own
-    order = np.lexsort((x, doc))
-    new = np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
-    if not new.all():
-        at = np.arange(len(x))
-        r = np.zeros(len(x), np.int64)
-        r[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-        x = np.where(r > 0, _mix(x + r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), x)
+    return x, np.maximum(sizes[rows] - k + 1, 0)
+
+
+def _labelled(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The r-th equal k-mer of a text gets a hash of its own."""
+    y = _mix(x + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(y, kind="stable")
+    new = np.concatenate([[True], y[order][1:] != y[order][:-1]])
+    if new.all():
+        return x
+    at = np.arange(len(x))
+    r = np.zeros(len(x), np.uint64)
+    r[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return np.where(r > 0, _mix(x + r * np.uint64(0x9E3779B97F4A7C15)), x)
+
+
+def sketches(w: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each text its order sketches (int64). w: the words' hashes, text by text."""
+    rows = sizes >= K
+    out = [np.zeros(0, np.int64)] * len(sizes)
+    if not rows.any():
+        return out
+    x, kmers = _runs(w, sizes, K, rows)
     starts = np.cumsum(kmers) - kmers
-    last = np.uint64(2**64 - 1)
-    for s in range(SKETCHES):
-        v = _mix_light(x, _ODD[s])
-        key = np.full(n_docs, s + 1, np.uint64)
-        least = []
+    x = _labelled(x, np.repeat(np.arange(len(kmers)), kmers))
+    at = (np.arange(len(x)) - np.repeat(starts, kmers)).astype(np.uint64)
+    low = (x >> np.uint64(32)).astype(np.uint32)
+    short = sizes[rows] <= MIDDLE
+    made = np.zeros((len(kmers), MORE), np.int64)
+    mine = np.arange(len(kmers))
+    for s, (odd, flip) in enumerate(_ODD):
+        if s == SKETCHES:  # from here on for the shorter texts alone
+            keep = np.repeat(short, kmers)
+            x, at, low, mine, kmers = x[keep], at[keep], low[keep], mine[short], kmers[short]
+            starts = np.cumsum(kmers) - kmers
+        if not len(kmers):
+            break
+        h = (low ^ flip) * odd
+        h ^= h >> np.uint32(16)
+        h *= odd
+        # the place in the low half: a minimum tells both what and where
+        v = (h.astype(np.uint64) << np.uint64(32)) | at
+        picked = []
         for _ in range(TAKE):
-            low = np.minimum.reduceat(v, starts)
-            at = np.flatnonzero(v == np.repeat(low, kmers))
-            where = np.full(n_docs, -1, np.int64)
-            where[doc[at[::-1]]] = at[::-1]
-            where[low == last] = -1
-            least.append(where)
-            v[at] = last
-        for where in np.sort(np.column_stack(least), axis=1).T:
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(where >= 0, x[np.maximum(where, 0)], np.uint64(s)))
-        out[:, s] = key.view(np.int64)
+            least = np.minimum.reduceat(v, starts)
+            none = least == np.uint64(2**64 - 1)
+            place = np.where(none, -1, (least & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            picked.append(place)
+            v[(starts + place)[~none]] = np.uint64(2**64 - 1)
+        key = np.full(len(kmers), s + 1, np.uint64)
+        for place in np.sort(np.column_stack(picked), axis=1).T:
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(place >= 0, x[starts + np.maximum(place, 0)], np.uint64(s)))
+        made[mine, s] = key.view(np.int64)
+    for i, row, few in zip(np.flatnonzero(rows).tolist(), made, short.tolist(), strict=True):
+        out[i] = row if few else row[:SKETCHES]
     return out
 
 
-def _mix_light(x: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    v = (x ^ odd[1]) * odd[0]
-    v ^= v >> np.uint64(32)
-    v *= odd[0]
-    return v
-
+def keys(w: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each text its keys: the sketches, and all runs of a short one (of two words where there are five at most)."""
+    out = sketches(w, sizes)
+    for k, rows in ((K, (sizes > EDITS_IN) & (sizes <= ALL)), (2, (sizes >= EDITS_IN - 1) & (sizes <= EDITS_IN + 1))):
+        x, n = _runs(w, sizes, k, rows)
+        ends = np.cumsum(n)
+        for i, lo, hi in zip(np.flatnonzero(rows).tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
+            out[i] = np.concatenate([out[i], np.unique(x[lo:hi]).view(np.int64)])
+    return out
 
-def bags(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each text BAG capped counts of hashed words. w: the words' hashes, text by text."""
-    cell = np.repeat(np.arange(len(sizes)) * BAG, sizes) + (w % np.uint64(BAG)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=len(sizes) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
 
+def bags(w: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each text capped counts of its hashed words in a power of two of cells."""
+    cells = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), LEAST_BAG, MOST_BAG)
+    ends = np.cumsum(cells)
+    cell = np.repeat(ends - cells, sizes) + (w % np.repeat(cells, sizes).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8)
+    return [counts[lo:hi].tobytes() for lo, hi in zip((ends - cells).tolist(), ends.tolist(), strict=True)]
 
-def short_keys(w: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """For each text its keys from runs of SHORT words (int32: keys that collide only make candidates)."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))
 
-    def runs(k: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = np.flatnonzero((left >= k) & of[doc])
-        x = np.full(len(begin), k, np.uint64)
-        for j in range(k):
-            x = _mix(x + w[begin + j] * np.uint64(2 * j + 3))
-        return (x >> np.uint64(32)).astype(np.uint32), doc[begin]
-
-    x, of = runs(SHORT, sizes >= SHORT)
-    rows = np.flatnonzero(sizes >= SHORT)
-    least = np.zeros((len(sizes), LEAST), np.int32)
-    if len(rows):
-        starts = np.searchsorted(of, rows)
-        for s, (odd, flip) in enumerate(_LEAST_ODD):
-            v = (x ^ flip) * odd
-            v ^= v >> np.uint32(16)
-            v *= odd
-            low = np.minimum.reduceat(v, starts).astype(np.uint64)
-            least[rows, s] = (_mix(low + (np.uint64(s + 1) << np.uint64(32))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    out = list(least)
-    pairs, pair_of = runs(2, sizes <= EDITS_IN)
-    for i in np.flatnonzero(sizes <= ALL).tolist():
-        # all runs for partners that are as short, the least ones for longer partners
-        cuts = [v[slice(*np.searchsorted(at, (i, i + 1)))].view(np.int32) for v, at in ((x, of), (pairs, pair_of))]
-        out[i] = np.unique(np.concatenate([*cuts, least[i]] if sizes[i] >= SHORT else cuts))
-    return out
+def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """The sum of differences of two bags, the longer folded to the shorter's cells."""
+    n = min(len(a), len(b))
+    a, b = (v.reshape(-1, n).sum(axis=0, dtype=np.int32) if len(v) > n else v.astype(np.int32) for v in (a, b))
+    return int(np.abs(a - b).sum())
 
 
 def edits(a: list, b: list, most: int) -> int | None:
@@ -223,40 +226,70 @@ def _digest(found: list[bytes], text: str | None) -> bytes:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """row (a number), doc (the whole row), node (a digest of its words), sketches, keys, bag and size (in words) of each row of docs."""
+    """row (a number), doc (the whole row), digest (of its words), keys, bag and size (in words) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             known = _Hashes()
-            found = [words(t) for t in batch.column(0).to_pylist()]
-            node = [_digest(x, t) for x, t in zip(found, batch.column(0).to_pylist(), strict=True)]
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SKETCHES, pa.int32()), pa.array(sketch(found, known).ravel()))
+            texts = batch.column(0).to_pylist()
+            found = [words(t) for t in texts]
             sizes = np.array([len(x) for x in found], np.int64)
             w = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.uint64, sizes.sum())
-            own = short_keys(w, sizes)
+            own = keys(w, sizes)
             ends = np.cumsum([0, *map(len, own)])
-            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(len(found))), batch.column(1), pa.array(node, pa.binary()), values, keys, pa.array([b.tobytes() for b in bags(w, sizes)], pa.binary()), pa.array(sizes, pa.int32())],
-                names=["row", "doc", "node", "sketches", "keys", "bag", "size"],
+                [
+                    pa.array(row + np.arange(len(found))),
+                    batch.column(1),
+                    pa.array([_digest(x, t) for x, t in zip(found, texts, strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))),
+                    pa.array(bags(w, sizes), pa.binary()),
+                    pa.array(sizes, pa.int32()),
+                ],
+                names=["row", "doc", "digest", "keys", "bag", "size"],
             )
             row += len(found)
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema), T.StructField("node", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.IntegerType())), T.StructField("bag", T.BinaryType()), T.StructField("size", T.IntegerType())])
-    return stored(docs.select("text", F.struct(*docs.columns).alias("doc")).mapInArrow(run, schema), "neardup-nodes")
+    fields = [("row", T.LongType()), ("doc", docs.schema), ("digest", T.BinaryType()), ("keys", T.ArrayType(T.LongType())), ("bag", T.BinaryType()), ("size", T.IntegerType())]
+    made = docs.select("text", F.struct(*docs.columns).alias("doc")).mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
+    return stored(made, "neardup-nodes")
+
 
+def _stars(distinct: DataFrame) -> DataFrame:
+    """key, node, rep: for each node of a bucket a lesser one, in two steps: the least of the batch's nodes, and of these the least of all."""
 
-def _stars(members: DataFrame) -> DataFrame:
-    """members: key, node. key, node, rep for every node in a bucket with a lesser one, rep being the least."""
-    least = members.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep < top").select("key", "rep")
-    return members.join(least, "key").filter("node > rep")
+    def star(heads: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(1)
+                key = own.flatten().to_numpy(zero_copy_only=False)
+                node = np.repeat(batch.column(0).to_numpy(), np.diff(own.offsets.to_numpy()))
+                order = np.lexsort((node, key))
+                key, node = key[order], node[order]
+                first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+                if heads:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(node[first])], names=["key", "node"])
+                else:
+                    rep = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
+                    keep = node > rep
+                    yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(rep[keep])], names=["key", "node", "rep"])
+
+        return run
+
+    heads = distinct.mapInArrow(star(True), "key long, node long").withColumn("rep", F.min("node").over(Window.partitionBy("key"))).filter("node > rep")
+    return stored(heads.select("key", "node", "rep").unionAll(distinct.mapInArrow(star(False), "key long, node long, rep long")), "neardup-stars")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (node, rep) that are links."""
-    left = pairs.join(texts.withColumnRenamed("text", "a"), "node")
-    both = left.join(texts.select(F.col("node").alias("rep"), F.col("text").alias("b")), "rep").select("node", "rep", "a", "b")
+    """The pairs (stored: node, rep) that are links. A node's text goes to several tasks where many pairs have it."""
+    parts = F.ceil(F.col("_n") / BLOCK).cast("int").alias("_of")
+    counted = pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).select("rep", parts)
+    cell = F.pmod(F.xxhash64("node"), F.col("_of")).cast("int").alias("_part")
+    cells = stored(salted_join(pairs, counted, ["rep"]).select("node", "rep", cell), "neardup-pairs")
+    right = texts.select(F.col("node").alias("rep"), F.col("text").alias("b")).join(counted, "rep").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+    left = salted_join(cells, texts.withColumnRenamed("text", "a"), ["node"])
+    both = left.join(right, ["rep", "_part"]).select("node", "rep", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, [])
@@ -268,22 +301,22 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(linked(words(a), held[1]))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["node", "rep"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(run, "node binary, rep binary"), "neardup-links")
+    return stored(both.mapInArrow(run, "node long, rep long"), "neardup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label for the nodes of links (node, rep): label is the least node that is connected to it.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): neighbourhoods are folded into their least node
-    by grouped minima and joins, so no neighbourhood meets in one task.
+    by grouped minima and joins that deal large neighbourhoods over several tasks, so none meets in one.
     """
-    edges, before = links.select(F.greatest("node", "rep").alias("u"), F.least("node", "rep").alias("v")).filter("u <> v").distinct(), None
+    edges, before = stored(links.select(F.greatest("node", "rep").alias("u"), F.least("node", "rep").alias("v")).filter("u <> v").distinct(), "neardup-edges"), None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(salted_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "neardup-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = salted_join(large, low, ["u"])
         edges = stored(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "neardup-star")
         # a forest of stars stays as it is: as many edges as nodes that are not centres, and no centre with a lesser neighbour
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -292,19 +325,20 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """pairs whose nodes are not connected yet."""
-    if labels is None:
-        return pairs
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (stored: node, rep) whose nodes are not connected yet."""
     mine, other = labels.withColumnRenamed("label", "_mine"), labels.select(F.col("node").alias("rep"), F.col("label").alias("_other"))
-    return pairs.join(mine, "node", "left").join(other, "rep", "left").filter(F.coalesce("_mine", "node") != F.coalesce("_other", "rep")).drop("_mine", "_other")
+    told = stored(salted_join(pairs.select("node", "rep"), mine, ["node"], "left"), "neardup-told")
+    both = salted_join(told, other, ["rep"], "left")
+    return both.filter(F.coalesce("_mine", "node") != F.coalesce("_other", "rep")).select("node", "rep")
 
 
 def _bounded(t: pa.Table) -> Iterator[pa.RecordBatch]:
     """The pairs of nodes within the cells of t (sorted by cell and size) that are not connected and may be links."""
     cell, size, label, upper, salt, alone = (t[c].to_numpy() for c in ("cell", "size", "label", "upper", "salt", "alone"))
-    node, n = t["node"].combine_chunks(), size.astype(np.int64)
-    bag = np.frombuffer(b"".join(t["bag"].to_pylist()), np.uint8).reshape(-1, BAG)
+    node, n = t["node"].to_numpy(), size.astype(np.int64)
+    bag = [np.frombuffer(b, np.uint8) for b in t["bag"].to_pylist()]
+    folded = np.stack([b.reshape(-1, LEAST_BAG).sum(axis=0, dtype=np.int32) for b in bag])
     group = np.cumsum(np.concatenate([[0], cell[1:] != cell[:-1]])) << 32
     # the longer of a link has five quarters of the shorter's words at most
     width = np.searchsorted(group + n, group + n * EDITS_IN // (EDITS_IN - 1), side="right") - np.arange(1, len(n) + 1)
@@ -316,37 +350,38 @@ def _bounded(t: pa.Table) -> Iterator[pa.RecordBatch]:
         j = i + 1 + np.arange(len(i)) - (total[i] - total[at])
         keep = (label[i] != label[j]) & ~(upper[i] & upper[j]) & (alone[i] | (salt[i] != salt[j]))
         i, j = i[keep], j[keep]
-        apart = np.abs(bag[i].astype(np.int16) - bag[j]).sum(axis=1, dtype=np.int64)
+        apart = np.abs(folded[i] - folded[j]).sum(axis=1, dtype=np.int64)
         # words not in common are edits: of the longer text, size less what both have
-        keep = 2 * n[j] - (n[i] + n[j] - apart) <= 2 * (n[j] // EDITS_IN)
+        most = lambda j: n[j] // EDITS_IN * 2
+        keep = 2 * n[j] - (n[i] + n[j] - apart) <= most(j)
+        i, j = i[keep], j[keep]
+        apart = np.fromiter((bag_distance(bag[a], bag[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), np.int64, len(i))
+        keep = 2 * n[j] - (n[i] + n[j] - apart) <= most(j)
         i, j = i[keep], j[keep]
         if len(i):
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j)), pa.array(label[i]), pa.array(label[j]), pa.array(apart[keep])], names=["a", "b", "mine", "other", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(label[i]), pa.array(label[j]), pa.array(apart[keep])], names=["a", "b", "mine", "other", "apart"])
         at = to
 
 
-def _untested(distinct: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, rep, mine, other (their classes so far), apart: all pairs that share a key, are not connected and may be links.
-
-    stars: the order sketches' buckets of several nodes.
-    """
-    known = distinct.filter("size > 0").join(labels, "node", "left").select("row", "node", F.xxhash64(F.coalesce("label", "node")).alias("label"), "size")
+def _untested(distinct: DataFrame, stars: DataFrame, votes: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, rep, mine, other (their classes so far), apart: all pairs that share a key, are not connected and may be links."""
+    # a bucket whose stars are all connected holds one class
+    open_keys = stored(stars.join(_across(votes, labels), ["node", "rep"]).select("key").distinct(), "neardup-open")
+    ends = stored(salted_join(stars, open_keys, ["key"]), "neardup-ends")
+    ends = stored(ends.select("key", "node").unionAll(ends.select("key", F.col("rep").alias("node"))).distinct(), "neardup-members")
+    known = matched(distinct.select(F.col("row").alias("node"), "size", "bag"), ends.select("node").distinct(), "node").join(labels, "node", "left")
     # lengths of a link lie in one band or in two that are neighbours
-    known = stored(known.withColumn("band", F.floor(F.log(1.26, F.col("size").cast("double"))).cast("int")), "neardup-known")
-    slim = known.select("row", "node", "label", "band")
-    short = distinct.select("row", "keys").join(slim.drop("node"), "row").select("row", "label", "band", F.explode("keys").alias("key")).withColumn("key", F.col("key").cast("long"))
-    ends = stars.select("key", "node").unionAll(stars.select("key", F.col("rep").alias("node")).distinct())
-    members = short.unionAll(ends.join(slim, "node").select("row", "label", "band", "key"))
-    bucket = Window.partitionBy("key")
-    several = members.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).filter("lo <> hi")
+    band = F.floor(F.log(1.26, F.col("size").cast("double"))).cast("int")
+    known = stored(known.select("node", F.coalesce("label", "node").alias("label"), "size", band.alias("band"), "bag"), "neardup-known")
     places = F.explode(F.array(*(F.struct((F.col("band") - k).alias("band"), F.lit(k == 1).alias("upper")) for k in (0, 1))))
-    cells = several.select("row", "label", "key", places.alias("p")).select("row", "label", "key", "p.*")
-    cell = Window.partitionBy("key", "band")
-    mixed = cells.select("row", "key", "band", "upper", F.min("label").over(cell).alias("lo"), F.max("label").over(cell).alias("hi"), F.min("upper").over(cell).alias("no_own"), F.count(F.lit(1)).over(cell).alias("n"))
-    dealt = mixed.filter("lo <> hi and not no_own").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("salt", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    cells = ends.join(known.select("node", "label", "band"), "node").select("key", "node", "label", places.alias("p")).select("key", "node", "label", "p.*")
+    cells = stored(cells, "neardup-cells")
+    mixed = cells.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("upper").alias("no_own"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.filter("lo <> hi and not no_own").select("key", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = salted_join(cells, mixed, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("row", "upper", "salt", (F.col("salt") == F.col("with")).alias("alone"), F.xxhash64("key", "band", F.least("salt", "with"), F.greatest("salt", "with")).alias("cell"))
-    full = blocks.join(known.join(distinct.select("row", "bag"), "row"), "row").select("cell", "size", "label", "upper", "salt", "alone", "node", "bag")
+    blocks = blocks.select("node", "upper", "salt", (F.col("salt") == F.col("with")).alias("alone"), F.xxhash64("key", "band", F.least("salt", "with"), F.greatest("salt", "with")).alias("cell"))
+    full = blocks.join(known, "node").select("cell", "size", "label", "upper", "salt", "alone", "node", "bag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -362,63 +397,67 @@ def _untested(distinct: DataFrame, stars: DataFrame, labels: DataFrame) -> DataF
         if held is not None:
             yield from _bounded(held)
 
-    pairs = full.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(run, "a binary, b binary, mine long, other long, apart long")
+    pairs = full.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(run, "a long, b long, mine long, other long, apart long")
     ends = pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("rep"), F.least("mine", "other").alias("mine"), F.greatest("mine", "other").alias("other"), "apart")
     return stored(ends.dropDuplicates(["node", "rep"]), "neardup-untested")
 
 
-def _texts(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and one text of each node of the pairs."""
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of each node of the pairs."""
     ends = pairs.select("node").unionAll(pairs.select(F.col("rep").alias("node"))).distinct()
-    picked = distinct.select("node", "row").join(ends, "node", "left_semi").select("row")
-    return stored(rows.select("row", "node", F.col("doc.text").alias("text")).join(picked, "row", "left_semi").select("node", "text"), "neardup-texts")
+    return stored(matched(rows.select(F.col("row").alias("node"), F.col("doc.text").alias("text")), ends, "node"), "neardup-texts")
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """rows: as of nodes(). node, label for the nodes that are linked to others."""
-    distinct = stored(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("sketches", "keys", "bag", "size")), F.min("row").alias("row")), "neardup-distinct")
-    stars = stored(_stars(distinct.select("node", F.explode("sketches").alias("key"))), "neardup-stars")
-    texts = _texts(rows, distinct, stars)
-    votes = stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes"))
+    """rows: as of nodes(). digest, label: the class of every word sequence, named by a row of it."""
+    reps = stored(rows.groupBy("digest").agg(F.min("row").alias("row")), "neardup-reps")
+    distinct = matched(rows.drop("doc", "digest"), reps.select("row"), "row")
+    stars = _stars(distinct.select("row", "keys"))
+    votes = stored(stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes")), "neardup-votes")
     # most nodes need one alignment: with the node that they meet most often
-    best = votes.groupBy("node").agg(F.max_by("rep", F.struct("votes", "rep")).alias("rep"))
-    links = _verified(best, texts)
+    best = stored(votes.groupBy("node").agg(F.max_by("rep", F.struct("votes", "rep")).alias("rep")), "neardup-best")
+    links = _verified(best, _texts(rows, best))
     labels = stored(components(links), "neardup-labels")
 
-    def more(pairs: DataFrame, texts: DataFrame) -> None:
+    def more(pairs: DataFrame) -> None:
         nonlocal links, labels
-        found = _verified(_across(pairs.select("node", "rep"), labels), texts)
+        left = stored(_across(pairs, labels), "neardup-left")
+        if left.isEmpty():
+            return
+        found = _verified(left, _texts(rows, left))
         if not found.isEmpty():
             links = links.unionAll(found)
             labels = stored(components(links), "neardup-labels")
 
-    more(votes.join(best, ["node", "rep"], "left_anti"), texts)
-    untested = _untested(distinct, stars, labels)
+    more(stored(votes.select("node", "rep").join(best, ["node", "rep"], "left_anti"), "neardup-others"))
+    untested = _untested(distinct, stars, votes, labels)
     if not untested.isEmpty():
-        texts = _texts(rows, distinct, untested)
         # of two classes the nearest pair first: what it connects needs no other
         nearest = stored(untested.groupBy("mine", "other").agg(F.min_by(F.struct("node", "rep"), F.struct("apart", "node", "rep")).alias("p")).select("p.*"), "neardup-nearest")
-        more(nearest, texts)
-        more(untested.join(nearest, ["node", "rep"], "left_anti"), texts)
-    return labels
+        more(nearest)
+        more(stored(untested.select("node", "rep").join(nearest, ["node", "rep"], "left_anti"), "neardup-rest"))
+    return reps.join(labels.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("label", "row").alias("label"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """row, doc_id, label of every row."""
+    slim = rows.select("row", F.col("doc.doc_id").alias("doc_id"), "digest")
+    return stored(salted_join(slim, stored(classes(rows), "neardup-classes"), ["digest"], spread=["row"]).select("row", "doc_id", "label"), "neardup-named")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), class_size for every row of docs."""
-    rows = nodes(docs.select("doc_id", "text"))
-    slim = rows.select(F.col("doc.doc_id").alias("doc_id"), "node")
-    named = slim.join(classes(rows), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    named = _named(nodes(docs.select("doc_id", "text")))
     sized = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(sized, "label").select("doc_id", "class_id", "class_size")
+    return salted_join(named, sized, ["label"], spread=["row"]).select("doc_id", "class_id", "class_size")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs of each class, that with the least doc_id (null ids last), with all columns."""
     rows = nodes(docs)
-    named = rows.select("row", F.col("doc.doc_id").alias("doc_id"), "node").join(classes(rows), "node", "left")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    first = named.groupBy(F.coalesce("label", "node").alias("label")).agg(least).select("least.row")
-    return rows.select("row", "doc").join(first, "row", "left_semi").select("doc.*")
+    first = stored(_named(rows).groupBy("label").agg(least).select("least.row"), "neardup-first")
+    return matched(rows.select("row", "doc"), first, "row").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
