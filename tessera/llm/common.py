@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Buckets of the two-level numbering; a cell holds rows / BUCKETS of its key at most, as ids hash evenly.
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a fresh local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a fresh local one only where none is set and all run on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tessera.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.tessera.shared.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -70,35 +74,42 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
 
 #: Rows of one key that may meet in a task, and the most keys that are treated as hot.
 HOT_ROWS, HOT_KEYS = 1024, 50_000
+#: Rows of a narrow table (a few numbers each) that are broadcast at most.
+BROADCAST_ROWS = 1 << 19
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: list[str] | None = None) -> DataFrame:
-    """many joined with one on keys, where a key may have any share of many's rows: each hot key is dealt into several cells.
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stored(), and the number of rows that were written."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name), int(seen.get["n"])
 
-    A key is hot from HOT_ROWS rows on, or from a HOT_KEYS-th of all rows, so that the table of hot keys is bounded and can be
-    broadcast; rows of one are repeated for each cell of their key. many must be replayable (stored or read), as it is scanned twice.
-    spread: columns whose hash deals the rows (default: all). Null keys match nothing.
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: list[str] | None = None) -> DataFrame:
+    """many (stored or read) joined with one (narrow, its keys distinct), where a key may have any share of many's rows.
+
+    one is counted: up to BROADCAST_ROWS it is broadcast. Beyond, rows are shuffled and each hot key is dealt into several cells, for
+    each of which its row of one is repeated. A key is hot from HOT_ROWS rows on, or from a HOT_KEYS-th of all rows, so that the table of
+    hot keys is bounded. spread: columns whose hash deals the rows (default: all). Null keys match nothing.
     """
-    n_rows = many.count()
-    if n_rows <= HOT_ROWS:
-        return many.join(one, keys, how)
-    least = max(HOT_ROWS, n_rows // HOT_KEYS)
-    counted = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counted.filter(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
+    one, n_one = counted(one, "join")
+    if n_one <= BROADCAST_ROWS:
+        return many.join(F.broadcast(one), keys, how)
+    least = max(HOT_ROWS, many.count() // HOT_KEYS)
+    numbers = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(numbers.filter(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_parts")))
+    # rows without a key match nothing and lie anywhere
+    none = reduce(or_, (F.col(k).isNull() for k in keys))
+    parts = F.when(none, HOT_ROWS).otherwise(F.coalesce("_parts", F.lit(1)))
     dealt = many.join(hot, keys, "left").withColumn("_cell", F.pmod(F.xxhash64(*(spread or many.columns)), parts).cast("int")).drop("_parts")
     copies = one.join(hot, keys, "left").withColumn("_cell", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(copies, [*keys, "_cell"], how).drop("_cell")
-
-
-#: Keys that are broadcast at most.
-BROADCAST_KEYS = 1 << 20
+    return dealt.join(copies.hint("merge"), [*keys, "_cell"], how).drop("_cell")
 
 
-def matched(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is in ids (one column). Ids are counted: up to BROADCAST_KEYS are broadcast, so that wide rows stay where they are."""
-    ids = stored(ids, "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids.hint("merge"), key, "left_semi")
+def attached(wide: DataFrame, narrow: DataFrame, key: str) -> DataFrame:
+    """Wide rows (key distinct) with each of narrow's rows of their key. narrow is counted: up to BROADCAST_ROWS it is broadcast, so that wide
+    rows stay where they are."""
+    narrow, n = counted(narrow, "ids")
+    return wide.join(F.broadcast(narrow) if n <= BROADCAST_ROWS else narrow.hint("merge"), key)
 
 
 def text_or_empty(name: str = "text") -> Column:

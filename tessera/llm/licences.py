@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import salted_join, stored, table, text_or_empty
+from tessera.llm.common import spread_join, stored, table, text_or_empty
 
 #: The least calibrated probability of a family that is named; below it the family is unknown.
 SURE = 0.6
@@ -333,7 +333,7 @@ def report(docs: DataFrame, model, found: DataFrame | None = None, placed: DataF
     sure = F.col("confidence") >= SURE
     verdict = predicted.join(agreement(placed), ["key", "family"], "left").select("key", "confidence", F.when(sure, F.col("family")).otherwise("unknown").alias("family"), (sure & (F.coalesce("agreement", F.lit(0.0)) >= AGREE)).alias("confirmed"))
     verdict = stored(verdict, "licence-verdicts")
-    placed_at = salted_join(found.select("doc_id", "digest", "place", "key").distinct(), verdict, ["key"])
+    placed_at = spread_join(found.select("doc_id", "digest", "place", "key").distinct(), verdict, ["key"])
     best = F.struct("confirmed", (F.col("family") != "unknown").alias("known"), "confidence", "family")
     by_doc = placed_at.groupBy("doc_id", "digest").agg(F.max(best).alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"), F.count(F.lit(1)).alias("n"))
     rows = docs.select("doc_id", F.md5(text_or_empty()).alias("digest")).join(by_doc, ["doc_id", "digest"], "left")

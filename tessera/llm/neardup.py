@@ -11,11 +11,11 @@ be. Texts of up to ALL words have all their runs as keys besides, since a link a
 words where there are five at most), so no link among them is missed; those of up to MIDDLE words have all sketches,
 longer ones, whose k-mers are many, the first SKETCHES of them.
 
-Equal word sequences fold into one node first. In each bucket all nodes are compared with the bucket's least node (within
+Equal word sequences fold into one node first. In each bucket all nodes are compared with the bucket's centre (within
 a task's rows beforehand, so that a hot bucket sends few rows), which connects most groups. Then every pair that shares a
-key and is not connected is tested: buckets that still hold several classes are cut by length (a link's lengths differ by
+key and is not connected is tested, a few of each node before all: buckets that still hold several classes are cut by length (a link's lengths differ by
 a fifth at most) and into blocks, and a task tests the pairs of two blocks against a bound on the edits from bags of
-words. Only what the bound leaves becomes rows and is aligned. No bucket is capped. Joins deal the rows of hot keys (a
+words. Only what the bound leaves becomes rows, once for each pair, and is aligned. No bucket is capped. Joins deal the rows of hot keys (a
 bucket's least node, a large class, a group of copies) over several tasks.
 
 Cases: null, empty and blank texts are one class of copies; other texts without words are copies where they are equal;
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import matched, salted_join, slices, stored, table
+from tessera.llm.common import attached, counted, slices, spread_join, stored, table
 from tessera.llm.decontam import words as ascii_words
 
 K = 3
@@ -46,12 +46,16 @@ SKETCHES, MORE, MIDDLE = 32, 64, 64
 TAKE = 2
 #: A link needs edits * EDITS_IN <= words of the longer text: similarity 0.8.
 EDITS_IN = 5
+#: Alignments of at most so many edits go by diagonals.
+NEAR = 24
 #: Texts of at most ALL words have all their runs as keys.
 ALL = 24
 #: Counters in the bag of words that bounds the edits of a pair: about one a word, in powers of two, between these.
 LEAST_BAG, MOST_BAG = 64, 2048
 #: About how many nodes of a bucket meet as many others in a task.
 BLOCK = 1024
+#: About how many pairs of each node of a bucket are tested before all others.
+FEW = 16.0
 
 _ODD = np.random.default_rng(11).integers(1, 2**31, (MORE, 2)).astype(np.uint32) | np.uint32(1)
 
@@ -164,8 +168,29 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.abs(a - b).sum())
 
 
+def _columns(p: list[int], q: list[int], most: int) -> int | None:
+    """edits() column by column: a column of the alignment is two bit vectors of its steps (Myers, 1999), here whole integers."""
+    n, m = len(p), len(q)
+    places: dict[int, int] = {}
+    for i, w in enumerate(p):
+        places[w] = places.get(w, 0) | 1 << i
+    whole, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, get = whole, 0, n, places.get
+    for j, w in enumerate(q):
+        eq = get(w, 0)
+        d = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | ~(d | up) & whole, d & up
+        score += bool(right & last) - bool(left & last)
+        if score - (m - j - 1) > most:
+            return None  # each column left lessens it by one at most
+        right = (right << 1 | 1) & whole
+        up, down = (left << 1 | ~(d | right)) & whole, right & d
+    return score if score <= most else None
+
+
 def edits(a: list, b: list, most: int) -> int | None:
-    """Word edits from a to b if at most `most`, else None: the furthest reach of each diagonal of the band, edit by edit."""
+    """Word edits from a to b if at most `most`, else None: the furthest reach of each diagonal of the band, edit by edit; where
+    NEAR edits do not do, column by column."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
@@ -196,6 +221,8 @@ def edits(a: list, b: list, most: int) -> int | None:
     if goal == 0 and reach[0] == n:
         return 0
     for d in range(1, most + 1):
+        if d > NEAR:
+            return _columns(p, q, most)
         new = {}
         # a diagonal from which the rest of the edits cannot lead to the goal is not followed
         for k in range(max(-d, goal - (most - d)), min(d, goal + (most - d)) + 1):
@@ -257,7 +284,8 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def _stars(distinct: DataFrame) -> DataFrame:
-    """key, node, rep: for each node of a bucket a lesser one, in two steps: the least of the batch's nodes, and of these the least of all."""
+    """key, node, rep: each node of a bucket with the bucket's centre, in two steps: first the centre of the batch's nodes, and for these
+    the centre of all. The centre is the node that comes first by a hash with the key, so that a group's buckets have different ones."""
 
     def star(heads: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,79 +293,105 @@ def _stars(distinct: DataFrame) -> DataFrame:
                 own = batch.column(1)
                 key = own.flatten().to_numpy(zero_copy_only=False)
                 node = np.repeat(batch.column(0).to_numpy(), np.diff(own.offsets.to_numpy()))
-                order = np.lexsort((node, key))
-                key, node = key[order], node[order]
+                rank = _mix(node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key.view(np.uint64)).view(np.int64)
+                order = np.lexsort((rank, key))
+                key, node, rank = key[order], node[order], rank[order]
                 first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
                 if heads:
-                    yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(node[first])], names=["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(node[first]), pa.array(rank[first])], names=["key", "node", "rank"])
                 else:
                     rep = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
-                    keep = node > rep
+                    keep = ~first & (node != rep)
                     yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(rep[keep])], names=["key", "node", "rep"])
 
         return run
 
-    heads = distinct.mapInArrow(star(True), "key long, node long").withColumn("rep", F.min("node").over(Window.partitionBy("key"))).filter("node > rep")
+    centre = F.first("node").over(Window.partitionBy("key").orderBy("rank", "node"))
+    heads = distinct.mapInArrow(star(True), "key long, node long, rank long").withColumn("rep", centre).filter("node <> rep")
     return stored(heads.select("key", "node", "rep").unionAll(distinct.mapInArrow(star(False), "key long, node long, rep long")), "neardup-stars")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (stored: node, rep) that are links. A node's text goes to several tasks where many pairs have it."""
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (stored: node, rep, mine, other) that are links. Texts go to the pairs' tasks; a node's text goes to several tasks where many pairs have it as rep."""
     parts = F.ceil(F.col("_n") / BLOCK).cast("int").alias("_of")
-    counted = pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).select("rep", parts)
-    cell = F.pmod(F.xxhash64("node"), F.col("_of")).cast("int").alias("_part")
-    cells = stored(salted_join(pairs, counted, ["rep"]).select("node", "rep", cell), "neardup-pairs")
-    right = texts.select(F.col("node").alias("rep"), F.col("text").alias("b")).join(counted, "rep").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
-    left = salted_join(cells, texts.withColumnRenamed("text", "a"), ["node"])
-    both = left.join(right, ["rep", "_part"]).select("node", "rep", "a", "b")
+    reps, _ = counted(pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).select("rep", parts), "neardup-pairs")
+    dealt = spread_join(pairs, reps, ["rep"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int")).drop("_of")
+    texts = rows.select("row", F.col("doc.text").alias("text"))
+    left = attached(texts.toDF("node", "a"), dealt, "node")
+    right = attached(texts.toDF("rep", "b"), reps.select("rep", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_part")), "rep")
+    both = left.join(right.hint("merge"), ["rep", "_part"]).select("rep", "mine", "other", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, [])
         for batch in batches:
             keep = []
-            for rep, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for rep, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
                 if held[0] != rep:
                     held = (rep, words(b))
                 keep.append(linked(words(a), held[1]))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["node", "rep"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:3], names=["mine", "other"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(run, "node long, rep long"), "neardup-links")
+    return both.mapInArrow(run, "mine long, other long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label for the nodes of links (node, rep): label is the least node that is connected to it.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): neighbourhoods are folded into their least node
-    by grouped minima and joins that deal large neighbourhoods over several tasks, so none meets in one.
+    by grouped minima and joins that deal large neighbourhoods over several tasks, so none meets in one. Before each step
+    every task replaces the edges it reads by stars over the same nodes, which shortens chains.
     """
-    edges, before = stored(links.select(F.greatest("node", "rep").alias("u"), F.least("node", "rep").alias("v")).filter("u <> v").distinct(), "neardup-edges"), None
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                parent[max(a, b)] = min(a, b)
+        ends = [(x, r) for x in parent if (r := root(x)) != x]
+        for k in range(0, len(ends), 100_000):
+            u, v = zip(*ends[k : k + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    edges = stored(links.select(F.greatest("node", "rep").alias("u"), F.least("node", "rep").alias("v")).filter("u <> v").distinct(), "neardup-edges")
     while True:
+        edges = stored(edges.mapInArrow(forest, "u long, v long"), "neardup-forest")
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stored(salted_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "neardup-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, low, ["u"])
-        edges = stored(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "neardup-star")
-        # a forest of stars stays as it is: as many edges as nodes that are not centres, and no centre with a lesser neighbour
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        before = now
+        large = stored(spread_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "neardup-large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "neardup-low")
+        small = spread_join(large, low, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, n = counted(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "neardup-star")
+        # a forest of stars: no node has two centres, and no centre has one of its own
+        ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        centres = edges.select(F.col("v").alias("u")).distinct()
+        if ends.count() == n and centres.join(ends, "u", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(centres.select(F.col("u").alias("node"), F.col("u").alias("label")))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (stored: node, rep) whose nodes are not connected yet."""
-    mine, other = labels.withColumnRenamed("label", "_mine"), labels.select(F.col("node").alias("rep"), F.col("label").alias("_other"))
-    told = stored(salted_join(pairs.select("node", "rep"), mine, ["node"], "left"), "neardup-told")
-    both = salted_join(told, other, ["rep"], "left")
-    return both.filter(F.coalesce("_mine", "node") != F.coalesce("_other", "rep")).select("node", "rep")
+    """node, rep, mine, other (the classes, the lesser first): the pairs (stored: node, rep and others) whose nodes are not connected yet."""
+    told = stored(spread_join(pairs, labels.withColumnRenamed("label", "_mine"), ["node"]), "neardup-told")
+    both = spread_join(told, labels.select(F.col("node").alias("rep"), F.col("label").alias("_other")), ["rep"]).filter("_mine <> _other")
+    return both.withColumn("mine", F.least("_mine", "_other")).withColumn("other", F.greatest("_mine", "_other")).drop("_mine", "_other")
 
 
-def _bounded(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The pairs of nodes within the cells of t (sorted by cell and size) that are not connected and may be links."""
-    cell, size, label, upper, salt, alone = (t[c].to_numpy() for c in ("cell", "size", "label", "upper", "salt", "alone"))
+def _bounded(t: pa.Table, low: float, high: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of nodes within the cells of t (sorted by cell and size) that are not connected, may be links, and lie in the slice of hashes."""
+    cell, size, label, upper, salt, alone, nodes = (t[c].to_numpy() for c in ("cell", "size", "label", "upper", "salt", "alone", "n"))
     node, n = t["node"].to_numpy(), size.astype(np.int64)
     bag = [np.frombuffer(b, np.uint8) for b in t["bag"].to_pylist()]
+    at_key = t["key"].to_numpy()
+    values, ends = t["keys"].combine_chunks(), None
+    ends = values.offsets.to_numpy()
+    flat = values.flatten().to_numpy()
+    own = [flat[lo - ends[0] : hi - ends[0]] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
     folded = np.stack([b.reshape(-1, LEAST_BAG).sum(axis=0, dtype=np.int32) for b in bag])
     group = np.cumsum(np.concatenate([[0], cell[1:] != cell[:-1]])) << 32
     # the longer of a link has five quarters of the shorter's words at most
@@ -350,6 +404,10 @@ def _bounded(t: pa.Table) -> Iterator[pa.RecordBatch]:
         j = i + 1 + np.arange(len(i)) - (total[i] - total[at])
         keep = (label[i] != label[j]) & ~(upper[i] & upper[j]) & (alone[i] | (salt[i] != salt[j]))
         i, j = i[keep], j[keep]
+        # a hash that both orders of a pair share, from 0 to 1, times the cell's nodes
+        place = (_mix(np.maximum(node[i], node[j]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.minimum(node[i], node[j]).view(np.uint64)) >> np.uint64(11)) * 2.0**-53 * nodes[i]
+        keep = (place >= low) & (place < high)
+        i, j = i[keep], j[keep]
         apart = np.abs(folded[i] - folded[j]).sum(axis=1, dtype=np.int64)
         # words not in common are edits: of the longer text, size less what both have
         most = lambda j: n[j] // EDITS_IN * 2
@@ -357,31 +415,33 @@ def _bounded(t: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j = i[keep], j[keep]
         apart = np.fromiter((bag_distance(bag[a], bag[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), np.int64, len(i))
         keep = 2 * n[j] - (n[i] + n[j] - apart) <= most(j)
+        # a pair with several keys in common is left to the least of them
+        keep &= np.fromiter((np.intersect1d(own[a], own[b], assume_unique=True)[0] == at_key[a] if k else False for a, b, k in zip(i.tolist(), j.tolist(), keep.tolist(), strict=True)), bool, len(i))
         i, j = i[keep], j[keep]
         if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(label[i]), pa.array(label[j]), pa.array(apart[keep])], names=["a", "b", "mine", "other", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j])), pa.array(apart[keep])], names=["node", "rep", "apart"])
         at = to
 
 
-def _untested(distinct: DataFrame, stars: DataFrame, votes: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, rep, mine, other (their classes so far), apart: all pairs that share a key, are not connected and may be links."""
-    # a bucket whose stars are all connected holds one class
-    open_keys = stored(stars.join(_across(votes, labels), ["node", "rep"]).select("key").distinct(), "neardup-open")
-    ends = stored(salted_join(stars, open_keys, ["key"]), "neardup-ends")
-    ends = stored(ends.select("key", "node").unionAll(ends.select("key", F.col("rep").alias("node"))).distinct(), "neardup-members")
-    known = matched(distinct.select(F.col("row").alias("node"), "size", "bag"), ends.select("node").distinct(), "node").join(labels, "node", "left")
+def _untested(ends: DataFrame, known: DataFrame, labels: DataFrame, low: float, high: float) -> tuple[DataFrame, int]:
+    """node, rep, apart: pairs that share a key, are not connected and may be links; and the nodes of the largest cell that still holds several
+    classes. ends: key, node. Of the pairs of a cell of n nodes those count whose hash lies from low / n to high / n."""
     # lengths of a link lie in one band or in two that are neighbours
     band = F.floor(F.log(1.26, F.col("size").cast("double"))).cast("int")
-    known = stored(known.select("node", F.coalesce("label", "node").alias("label"), "size", band.alias("band"), "bag"), "neardup-known")
+    told = known.join(labels, "node")
+    told = stored(told.withColumn("band", band), "neardup-known")
+    slim = stored(spread_join(ends, told.select("node", "label", "band"), ["node"]), "neardup-slim")
     places = F.explode(F.array(*(F.struct((F.col("band") - k).alias("band"), F.lit(k == 1).alias("upper")) for k in (0, 1))))
-    cells = ends.join(known.select("node", "label", "band"), "node").select("key", "node", "label", places.alias("p")).select("key", "node", "label", "p.*")
-    cells = stored(cells, "neardup-cells")
+    cells = slim.select("key", "node", "label", places.alias("p")).select("key", "node", "label", "p.*")
     mixed = cells.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("upper").alias("no_own"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.filter("lo <> hi and not no_own").select("key", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    dealt = salted_join(cells, mixed, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    mixed = stored(mixed.filter("lo <> hi and not no_own").select("key", "band", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "neardup-mixed")
+    most = int(mixed.agg(F.max("n")).first()[0] or 0)
+    if not most:
+        return ends.select("node", F.col("node").alias("rep"), F.lit(0).cast("long").alias("apart")).limit(0), 0
+    dealt = spread_join(cells, mixed, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("node", "upper", "salt", (F.col("salt") == F.col("with")).alias("alone"), F.xxhash64("key", "band", F.least("salt", "with"), F.greatest("salt", "with")).alias("cell"))
-    full = blocks.join(known, "node").select("cell", "size", "label", "upper", "salt", "alone", "node", "bag")
+    blocks = blocks.select("key", "node", "upper", "salt", "n", (F.col("salt") == F.col("with")).alias("alone"), F.xxhash64("key", "band", F.least("salt", "with"), F.greatest("salt", "with")).alias("cell"))
+    full = blocks.join(told.hint("merge"), "node").select("cell", "key", "size", "label", "upper", "salt", "alone", "n", "node", "bag", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -393,71 +453,76 @@ def _untested(distinct: DataFrame, stars: DataFrame, votes: DataFrame, labels: D
                 last = int(np.searchsorted(cell, cell[-1]))
                 held = t.slice(last)
                 if last:
-                    yield from _bounded(t.slice(0, last))
+                    yield from _bounded(t.slice(0, last), low, high)
         if held is not None:
-            yield from _bounded(held)
-
-    pairs = full.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(run, "a long, b long, mine long, other long, apart long")
-    ends = pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("rep"), F.least("mine", "other").alias("mine"), F.greatest("mine", "other").alias("other"), "apart")
-    return stored(ends.dropDuplicates(["node", "rep"]), "neardup-untested")
-
+            yield from _bounded(held, low, high)
 
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and text of each node of the pairs."""
-    ends = pairs.select("node").unionAll(pairs.select(F.col("rep").alias("node"))).distinct()
-    return stored(matched(rows.select(F.col("row").alias("node"), F.col("doc.text").alias("text")), ends, "node"), "neardup-texts")
+    pairs = full.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(run, "node long, rep long, apart long")
+    return pairs, most
 
 
 def classes(rows: DataFrame) -> DataFrame:
     """rows: as of nodes(). digest, label: the class of every word sequence, named by a row of it."""
     reps = stored(rows.groupBy("digest").agg(F.min("row").alias("row")), "neardup-reps")
-    distinct = matched(rows.drop("doc", "digest"), reps.select("row"), "row")
+    distinct = attached(rows.drop("doc", "digest"), reps.select("row"), "row")
     stars = _stars(distinct.select("row", "keys"))
     votes = stored(stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes")), "neardup-votes")
-    # most nodes need one alignment: with the node that they meet most often
+    met = votes.select("node").unionAll(votes.select("rep")).distinct()
+    labels = stored(met.select("node", F.col("node").alias("label")), "neardup-labels")
+
+    def connect(pairs: DataFrame) -> None:
+        """Test pairs (stored) and join the classes that they link."""
+        nonlocal labels
+        found, n = counted(_verified(pairs, rows), "neardup-links")
+        if n:
+            new = components(found.select(F.col("mine").alias("node"), F.col("other").alias("rep"))).select(F.col("node").alias("label"), F.col("label").alias("_label"))
+            labels = stored(spread_join(labels, new, ["label"], "left", ["node"]).select("node", F.coalesce("_label", "label").alias("label")), "neardup-labels")
+
+    # most nodes need one alignment: with the centre that they meet most often
     best = stored(votes.groupBy("node").agg(F.max_by("rep", F.struct("votes", "rep")).alias("rep")), "neardup-best")
-    links = _verified(best, _texts(rows, best))
-    labels = stored(components(links), "neardup-labels")
-
-    def more(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        left = stored(_across(pairs, labels), "neardup-left")
-        if left.isEmpty():
-            return
-        found = _verified(left, _texts(rows, left))
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            labels = stored(components(links), "neardup-labels")
-
-    more(stored(votes.select("node", "rep").join(best, ["node", "rep"], "left_anti"), "neardup-others"))
-    untested = _untested(distinct, stars, votes, labels)
-    if not untested.isEmpty():
-        # of two classes the nearest pair first: what it connects needs no other
-        nearest = stored(untested.groupBy("mine", "other").agg(F.min_by(F.struct("node", "rep"), F.struct("apart", "node", "rep")).alias("p")).select("p.*"), "neardup-nearest")
-        more(nearest)
-        more(stored(untested.select("node", "rep").join(nearest, ["node", "rep"], "left_anti"), "neardup-rest"))
+    connect(stored(best.select("node", "rep", F.col("node").alias("mine"), F.col("rep").alias("other")), "neardup-first"))
+    # of two classes the pair that meets most often: what it connects needs no other
+    others = stored(votes.join(best, ["node", "rep"], "left_anti"), "neardup-others")
+    nearest = _across(others, labels).groupBy("mine", "other").agg(F.max_by(F.struct("node", "rep"), F.struct("votes", "node", "rep")).alias("p")).select("p.*", "mine", "other")
+    nearest = stored(nearest, "neardup-nearest")
+    connect(nearest)
+    # then all pairs of each bucket that holds several classes: a bucket whose stars are all connected holds one
+    apart = _across(votes.select("node", "rep"), labels).select("node", "rep")
+    open_keys = stored(stars.join(apart, ["node", "rep"]).select("key").distinct(), "neardup-open")
+    ends = stored(spread_join(stars, open_keys, ["key"]), "neardup-ends")
+    ends = stored(ends.select("key", "node").unionAll(ends.select("key", F.col("rep").alias("node"))).distinct(), "neardup-members")
+    known = stored(attached(distinct.select(F.col("row").alias("node"), "size", "bag", F.array_distinct("keys").alias("keys")), ends.select("node").distinct(), "node"), "neardup-bags")
+    # a few pairs of each node first: where many are links, they connect most
+    for low, high in ((0.0, FEW), (FEW, np.inf)):
+        found, most = _untested(ends, known, labels, low, high)
+        if not most:
+            break
+        found, n = counted(found, "neardup-untested")
+        if n:
+            connect(stored(_across(found, labels).select("node", "rep", "mine", "other"), "neardup-across"))
+        if most <= FEW:
+            break
     return reps.join(labels.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("label", "row").alias("label"))
 
 
 def _named(rows: DataFrame) -> DataFrame:
     """row, doc_id, label of every row."""
     slim = rows.select("row", F.col("doc.doc_id").alias("doc_id"), "digest")
-    return stored(salted_join(slim, stored(classes(rows), "neardup-classes"), ["digest"], spread=["row"]).select("row", "doc_id", "label"), "neardup-named")
+    return stored(spread_join(slim, classes(rows), ["digest"], spread=["row"]).select("row", "doc_id", "label"), "neardup-named")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), class_size for every row of docs."""
     named = _named(nodes(docs.select("doc_id", "text")))
     sized = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return salted_join(named, sized, ["label"], spread=["row"]).select("doc_id", "class_id", "class_size")
+    return spread_join(named, sized, ["label"], spread=["row"]).select("doc_id", "class_id", "class_size")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs of each class, that with the least doc_id (null ids last), with all columns."""
     rows = nodes(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    first = stored(_named(rows).groupBy("label").agg(least).select("least.row"), "neardup-first")
-    return matched(rows.select("row", "doc"), first, "row").select("doc.*")
+    return attached(rows.select("row", "doc"), _named(rows).groupBy("label").agg(least).select("least.row"), "row").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.common import labelled, matched, numbered, salted_join, shared_dir, slices, stored
+from tessera.llm.common import attached, counted, labelled, numbered, shared_dir, slices, spread_join, stored
 
 
 def test_numbers_are_gapless(spark):
@@ -35,18 +35,20 @@ def test_shared_dir_is_kept(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
 
-def test_hot_keys_are_dealt(spark):
+def test_hot_keys_are_dealt(spark, monkeypatch):
     many = stored(spark.range(9000).select(F.when(F.col("id") < 5000, 0).when(F.col("id") < 8000, F.col("id") % 50).alias("k"), "id"), "test")
     one = spark.createDataFrame([(k, f"v{k}") for k in range(40)] + [(None, "n")], "k long, v string")
-    for how in ("inner", "left"):
-        want, got = many.join(one, "k", how), salted_join(many, one, ["k"], how, spread=["id"])
-        assert sorted(map(str, got.select("k", "id", "v").collect())) == sorted(map(str, want.select("k", "id", "v").collect()))
-    assert salted_join(many.limit(0), one, ["k"]).collect() == []
+    for most in (common.BROADCAST_ROWS, 3):  # broadcast; shuffled
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        for how in ("inner", "left"):
+            want, got = many.join(one, "k", how), spread_join(many, one, ["k"], how, spread=["id"])
+            assert sorted(map(str, got.select("k", "id", "v").collect())) == sorted(map(str, want.select("k", "id", "v").collect()))
+        assert spread_join(many.limit(0), one, ["k"]).collect() == []
 
 
-def test_matched_rows(spark, monkeypatch):
+def test_attached_rows(spark, monkeypatch):
     rows, ids = spark.range(100).withColumn("x", F.lit("y")), spark.range(0, 200, 7)
-    want = list(range(0, 100, 7))
-    assert sorted(r.id for r in matched(rows, ids, "id").collect()) == want
-    monkeypatch.setattr(common, "BROADCAST_KEYS", 3)
-    assert sorted(r.id for r in matched(rows, ids, "id").collect()) == want
+    for most in (common.BROADCAST_ROWS, 3):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        assert sorted(r.id for r in attached(rows, ids, "id").collect()) == list(range(0, 100, 7))
+        assert counted(ids, "test")[1] == 29
