@@ -307,7 +307,8 @@ def report(docs: DataFrame, weights: dict[tuple[int, str], float]) -> DataFrame:
 
 def redacted(docs: DataFrame, weights: dict[tuple[int, str], float]) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets (spans that overlap: by the first's); a null text stays null."""
-    rows = _spans(found(docs.withColumn("_null", F.col("text").isNull())), weights)
+    # the row travels as one value, so that its columns may have any names
+    rows = _spans(found(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")), weights)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     text = F.col("text")
 
@@ -318,8 +319,8 @@ def redacted(docs: DataFrame, weights: dict[tuple[int, str], float]) -> DataFram
 
     by_place = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     made = F.aggregate(by_place, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    new = F.when(F.col("_null"), F.lit(None)).otherwise(F.when(F.size("spans") > 0, made).otherwise(text))
-    return rows.withColumn("text", new).select(docs.columns)
+    new = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.when(F.size("spans") > 0, made).otherwise(text))
+    return rows.select(*((new if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

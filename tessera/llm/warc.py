@@ -9,7 +9,8 @@ Reading: the dictionary comes from the leading skippable frame, frames are decod
 record's version line, required headers, lengths and payload digest are checked; a record that fails raises ValueError
 with the archive's path and the record's number.
 
-Cases: a null html is an empty payload; a null or odd url is written with its control characters and blanks
+Cases: a null html is an empty payload; a null page_id is written as an empty one and read as null, and such a record is never what others
+refer to (it refers to the smallest page_id of its payload, or is a response where there is none); a null or odd url is written with its control characters and blanks
 percent-encoded; repeated rows with the smallest page_id are all responses; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -29,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, stored, table
+from tessera.llm.common import scratch, spread_join, stored, table
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
@@ -41,10 +42,12 @@ SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
+#: Tasks that read archives at most; a task reads several, one after the other.
+READERS = 20_000
 
 
 class Record(NamedTuple):
-    page_id: int
+    page_id: int | None
     url: str
     payload_bytes: int
     payload_digest: str
@@ -53,13 +56,13 @@ class Record(NamedTuple):
     payload: bytes | None
 
 
-def encode(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def encode(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record; a revisit (refers_to given) holds the HTTP header without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Target-URI", quote(url or "", safe="!#$%&'()*+,/:;=?@[]~")),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"),
@@ -80,10 +83,10 @@ def _split(head: bytes, what: str) -> dict[str, str]:
     return out
 
 
-def _page(uri: str, what: str) -> int:
+def _page(uri: str, what: str) -> int | None:
     if not uri.startswith("<urn:page:") or not uri.endswith(">"):
         raise ValueError(f"{what}: a record id of another form: {uri[:80]}")
-    return int(uri[10:-1])
+    return int(uri[10:-1]) if uri[10:-1] else None
 
 
 def decode(raw: bytes, what: str = "record") -> Record:
@@ -122,7 +125,16 @@ def dictionary(samples: list[bytes]) -> bytes:
         return (b"".join(samples)[-DICTIONARY_BYTES:] or VERSION * 2).ljust(16, b" ")
 
 
+#: Hadoop's names of stores, and Arrow's (fixed values).
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark names it."""
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme == "viewfs":
+        return fs.HadoopFileSystem(f"viewfs://{rest.partition('/')[0]}"), "/" + rest.partition("/")[2]
+    path = _SCHEMES.get(scheme, scheme) + mark + rest
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
@@ -188,8 +200,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, archive
     rows = pages.select("page_id", "url", html.alias("html"), F.when(F.octet_length(html) >= least_bytes, F.sha2(html, 256)).alias("digest"))
     # only digests of several records are joined back: elsewhere the record is its own response
     several = rows.filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    dealt = rows.join(several, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
+    dealt = spread_join(rows, several, ["digest"], "left", ["page_id"]).select("page_id", "url", "html", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((page, url, (text or "").encode(), refers) for b in batches for page, url, text, refers in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -229,7 +241,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    spread = manifest.select("path").repartition(max(1, manifest.count()))
+    spread = manifest.select("path").repartition(max(1, min(manifest.count(), READERS)))
     return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import pii
 
@@ -68,6 +69,18 @@ def test_redacted(frame, weights):
     assert {r.doc_id: r.text for r in out.collect()} == {0: "mail <EMAIL> now", 1: None, 2: "", 3: "é 😀 <IP>.", 4: "nothing", 5: "<PHONE> <EMAIL>"}
 
 
+def test_columns_with_any_names(frame, weights):
+    names = ["spans", "more", "base0", "near1", "extra", "_null", "_found", "_base", "row", "pos", "a.b"]
+    docs = frame(["mail a@b.com now", None])
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    out = pii.redacted(docs, weights)
+    assert out.columns == docs.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[0].text == "mail <EMAIL> now" and rows[1].text is None
+    assert all(rows[i][n] == f"own {n}" for i in (0, 1) for n in names)
+
+
 def test_empty(frame):
     weights = pii.train(frame([]))
     assert pii.report(frame([]), weights).collect() == []

@@ -60,3 +60,19 @@ def test_pages(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("revisit", first) if len(payload) >= 100 and first < r.page_id else ("response", None))
         assert r.payload == (payload if r.record_type == "response" else None)
     assert warc.read(warc.write(pages.limit(0), str(tmp_path / "w"))).count() == 0
+
+
+def test_null_ids_and_very_long_pages(spark, tmp_path):
+    long = "<p>" + "x y " * 1_000_000
+    rows = [(None, "u", "a" * 200), (3, "u", "a" * 200), (2, None, "a" * 200), (None, None, None), (None, "v", "b" * 150), (None, "v", "b" * 150), (9, "w", long), (8, "w", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    (tmp_path / "w").mkdir()
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(warc.write(pages, f"file://{tmp_path}/w")).collect()]
+    n = len(long)
+    want = [(None, "revisit", 2, 200), (3, "revisit", 2, 200), (2, "response", None, 200), (None, "response", None, 0), (None, "response", None, 150), (None, "response", None, 150), (9, "revisit", 8, n), (8, "response", None, n)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_stores_that_spark_names():
+    assert warc._file_system("file:///tmp/x")[1] == "/tmp/x"
+    assert warc._file_system("s3a://bucket/a/b")[1] == "bucket/a/b"
