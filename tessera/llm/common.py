@@ -50,8 +50,17 @@ def drop(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
+#: Rows of a narrow table in each of its files.
+FILE_ROWS = 200_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation.
+
+    rows: a bound of the number of rows, for narrow tables whose last step is cheap; they go to that many files, not to one a partition.
+    """
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -78,20 +87,20 @@ HOT_ROWS, HOT_KEYS = 1024, 50_000
 BROADCAST_ROWS = 1 << 19
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def counted(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, int]:
     """stored(), and the number of rows that were written."""
     seen = Observation()
-    return stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name), int(seen.get["n"])
+    return stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name, rows), int(seen.get["n"])
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: list[str] | None = None) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """many (stored or read) joined with one (narrow, its keys distinct), where a key may have any share of many's rows.
 
     one is counted: up to BROADCAST_ROWS it is broadcast. Beyond, rows are shuffled and each hot key is dealt into several cells, for
     each of which its row of one is repeated. A key is hot from HOT_ROWS rows on, or from a HOT_KEYS-th of all rows, so that the table of
-    hot keys is bounded. spread: columns whose hash deals the rows (default: all). Null keys match nothing.
+    hot keys is bounded. spread: columns whose hash deals the rows (default: all). rows: a bound of one's rows. Null keys match nothing.
     """
-    one, n_one = counted(one, "join")
+    one, n_one = counted(one, "join", rows)
     if n_one <= BROADCAST_ROWS:
         return many.join(F.broadcast(one), keys, how)
     least = max(HOT_ROWS, many.count() // HOT_KEYS)
@@ -105,10 +114,10 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     return dealt.join(copies.hint("merge"), [*keys, "_cell"], how).drop("_cell")
 
 
-def attached(wide: DataFrame, narrow: DataFrame, key: str) -> DataFrame:
+def attached(wide: DataFrame, narrow: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """Wide rows (key distinct) with each of narrow's rows of their key. narrow is counted: up to BROADCAST_ROWS it is broadcast, so that wide
     rows stay where they are."""
-    narrow, n = counted(narrow, "ids")
+    narrow, n = counted(narrow, "ids", rows)
     return wide.join(F.broadcast(narrow) if n <= BROADCAST_ROWS else narrow.hint("merge"), key)
 
 

@@ -311,14 +311,14 @@ def _stars(distinct: DataFrame) -> DataFrame:
     return stored(heads.select("key", "node", "rep").unionAll(distinct.mapInArrow(star(False), "key long, node long, rep long")), "neardup-stars")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (stored: node, rep, mine, other) that are links. Texts go to the pairs' tasks; a node's text goes to several tasks where many pairs have it as rep."""
+def _verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The pairs (stored: node, rep, mine, other; n at most) that are links. Texts go to the pairs' tasks; a node's text goes to several tasks where many pairs have it as rep."""
     parts = F.ceil(F.col("_n") / BLOCK).cast("int").alias("_of")
-    reps, _ = counted(pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).select("rep", parts), "neardup-pairs")
-    dealt = spread_join(pairs, reps, ["rep"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int")).drop("_of")
+    reps, _ = counted(pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).select("rep", parts), "neardup-pairs", n)
+    dealt = spread_join(pairs, reps, ["rep"], rows=n).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int")).drop("_of")
     texts = rows.select("row", F.col("doc.text").alias("text"))
-    left = attached(texts.toDF("node", "a"), dealt, "node")
-    right = attached(texts.toDF("rep", "b"), reps.select("rep", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_part")), "rep")
+    left = attached(texts.toDF("node", "a"), dealt, "node", n)
+    right = attached(texts.toDF("rep", "b"), reps.select("rep", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_part")), "rep", n)
     both = left.join(right.hint("merge"), ["rep", "_part"]).select("rep", "mine", "other", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +334,8 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "mine long, other long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label for the nodes of links (node, rep): label is the least node that is connected to it.
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, label for the nodes of links (node, rep; `rows` at most): label is the least node that is connected to it.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): neighbourhoods are folded into their least node
     by grouped minima and joins that deal large neighbourhoods over several tasks, so none meets in one. Before each step
@@ -359,15 +359,16 @@ def components(links: DataFrame) -> DataFrame:
             u, v = zip(*ends[k : k + 100_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    edges = stored(links.select(F.greatest("node", "rep").alias("u"), F.least("node", "rep").alias("v")).filter("u <> v").distinct(), "neardup-edges")
+    edges = stored(links.select(F.greatest("node", "rep").alias("u"), F.least("node", "rep").alias("v")).filter("u <> v").distinct(), "neardup-edges", rows)
     while True:
         edges = stored(edges.mapInArrow(forest, "u long, v long"), "neardup-forest")
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        twice = rows and 2 * rows
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stored(spread_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "neardup-large")
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "neardup-low")
-        small = spread_join(large, low, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, n = counted(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "neardup-star")
+        large = stored(spread_join(both, least, ["u"], rows=twice).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "neardup-large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "neardup-low", twice)
+        small = spread_join(large, low, ["u"], rows=twice).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, n = counted(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "neardup-star", twice)
         # a forest of stars: no node has two centres, and no centre has one of its own
         ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         centres = edges.select(F.col("v").alias("u")).distinct()
@@ -375,10 +376,11 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(centres.select(F.col("u").alias("node"), F.col("u").alias("label")))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, rep, mine, other (the classes, the lesser first): the pairs (stored: node, rep and others) whose nodes are not connected yet."""
-    told = stored(spread_join(pairs, labels.withColumnRenamed("label", "_mine"), ["node"]), "neardup-told")
-    both = spread_join(told, labels.select(F.col("node").alias("rep"), F.col("label").alias("_other")), ["rep"]).filter("_mine <> _other")
+def _across(pairs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """node, rep, mine, other (the classes, the lesser first): the pairs (stored: node, rep and others) whose nodes are not connected yet.
+    rows: a bound of labels' rows."""
+    told = stored(spread_join(pairs, labels.withColumnRenamed("label", "_mine"), ["node"], rows=rows), "neardup-told")
+    both = spread_join(told, labels.select(F.col("node").alias("rep"), F.col("label").alias("_other")), ["rep"], rows=rows).filter("_mine <> _other")
     return both.withColumn("mine", F.least("_mine", "_other")).withColumn("other", F.greatest("_mine", "_other")).drop("_mine", "_other")
 
 
@@ -423,22 +425,22 @@ def _bounded(t: pa.Table, low: float, high: float) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def _untested(ends: DataFrame, known: DataFrame, labels: DataFrame, low: float, high: float) -> tuple[DataFrame, int]:
+def _untested(ends: DataFrame, known: DataFrame, labels: DataFrame, n_ends: int, low: float, high: float) -> tuple[DataFrame, int]:
     """node, rep, apart: pairs that share a key, are not connected and may be links; and the nodes of the largest cell that still holds several
-    classes. ends: key, node. Of the pairs of a cell of n nodes those count whose hash lies from low / n to high / n."""
+    classes. ends: key, node (n_ends rows). Of the pairs of a cell of n nodes those count whose hash lies from low / n to high / n."""
     # lengths of a link lie in one band or in two that are neighbours
     band = F.floor(F.log(1.26, F.col("size").cast("double"))).cast("int")
     told = known.join(labels, "node")
     told = stored(told.withColumn("band", band), "neardup-known")
-    slim = stored(spread_join(ends, told.select("node", "label", "band"), ["node"]), "neardup-slim")
+    slim = stored(spread_join(ends, told.select("node", "label", "band"), ["node"], rows=n_ends), "neardup-slim")
     places = F.explode(F.array(*(F.struct((F.col("band") - k).alias("band"), F.lit(k == 1).alias("upper")) for k in (0, 1))))
     cells = slim.select("key", "node", "label", places.alias("p")).select("key", "node", "label", "p.*")
     mixed = cells.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("upper").alias("no_own"), F.count(F.lit(1)).alias("n"))
-    mixed = stored(mixed.filter("lo <> hi and not no_own").select("key", "band", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "neardup-mixed")
+    mixed = stored(mixed.filter("lo <> hi and not no_own").select("key", "band", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "neardup-mixed", 2 * n_ends)
     most = int(mixed.agg(F.max("n")).first()[0] or 0)
     if not most:
         return ends.select("node", F.col("node").alias("rep"), F.lit(0).cast("long").alias("apart")).limit(0), 0
-    dealt = spread_join(cells, mixed, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = spread_join(cells, mixed, ["key", "band"], rows=2 * n_ends).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = blocks.select("key", "node", "upper", "salt", "n", (F.col("salt") == F.col("with")).alias("alone"), F.xxhash64("key", "band", F.least("salt", "with"), F.greatest("salt", "with")).alias("cell"))
     full = blocks.join(told.hint("merge"), "node").select("cell", "key", "size", "label", "upper", "salt", "alone", "n", "node", "bag", "keys")
@@ -463,43 +465,43 @@ def _untested(ends: DataFrame, known: DataFrame, labels: DataFrame, low: float,
 
 def classes(rows: DataFrame) -> DataFrame:
     """rows: as of nodes(). digest, label: the class of every word sequence, named by a row of it."""
-    reps = stored(rows.groupBy("digest").agg(F.min("row").alias("row")), "neardup-reps")
-    distinct = attached(rows.drop("doc", "digest"), reps.select("row"), "row")
+    reps, n_reps = counted(rows.groupBy("digest").agg(F.min("row").alias("row")), "neardup-reps")
+    distinct = attached(rows.drop("doc", "digest"), reps.select("row"), "row", n_reps)
     stars = _stars(distinct.select("row", "keys"))
-    votes = stored(stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes")), "neardup-votes")
+    n_stars = stars.count()
+    votes, n_votes = counted(stars.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes")), "neardup-votes", n_stars)
     met = votes.select("node").unionAll(votes.select("rep")).distinct()
-    labels = stored(met.select("node", F.col("node").alias("label")), "neardup-labels")
+    labels, n_met = counted(met.select("node", F.col("node").alias("label")), "neardup-labels", n_reps)
 
-    def connect(pairs: DataFrame) -> None:
+    def connect(pairs: DataFrame, n_pairs: int) -> None:
         """Test pairs (stored) and join the classes that they link."""
         nonlocal labels
-        found, n = counted(_verified(pairs, rows), "neardup-links")
+        found, n = counted(_verified(pairs, rows, n_pairs), "neardup-links")
         if n:
-            new = components(found.select(F.col("mine").alias("node"), F.col("other").alias("rep"))).select(F.col("node").alias("label"), F.col("label").alias("_label"))
-            labels = stored(spread_join(labels, new, ["label"], "left", ["node"]).select("node", F.coalesce("_label", "label").alias("label")), "neardup-labels")
+            new = components(found.select(F.col("mine").alias("node"), F.col("other").alias("rep")), n).select(F.col("node").alias("label"), F.col("label").alias("_label"))
+            labels = stored(spread_join(labels, new, ["label"], "left", ["node"], 2 * n).select("node", F.coalesce("_label", "label").alias("label")), "neardup-labels", n_met)
 
     # most nodes need one alignment: with the centre that they meet most often
-    best = stored(votes.groupBy("node").agg(F.max_by("rep", F.struct("votes", "rep")).alias("rep")), "neardup-best")
-    connect(stored(best.select("node", "rep", F.col("node").alias("mine"), F.col("rep").alias("other")), "neardup-first"))
+    best = stored(votes.groupBy("node").agg(F.max_by("rep", F.struct("votes", "rep")).alias("rep")), "neardup-best", n_met)
+    connect(stored(best.select("node", "rep", F.col("node").alias("mine"), F.col("rep").alias("other")), "neardup-first", n_met), n_met)
     # of two classes the pair that meets most often: what it connects needs no other
-    others = stored(votes.join(best, ["node", "rep"], "left_anti"), "neardup-others")
-    nearest = _across(others, labels).groupBy("mine", "other").agg(F.max_by(F.struct("node", "rep"), F.struct("votes", "node", "rep")).alias("p")).select("p.*", "mine", "other")
-    nearest = stored(nearest, "neardup-nearest")
-    connect(nearest)
+    others = stored(votes.join(best, ["node", "rep"], "left_anti"), "neardup-others", n_votes)
+    nearest = _across(others, labels, n_met).groupBy("mine", "other").agg(F.max_by(F.struct("node", "rep"), F.struct("votes", "node", "rep")).alias("p")).select("p.*", "mine", "other")
+    connect(*counted(nearest, "neardup-nearest", n_votes))
     # then all pairs of each bucket that holds several classes: a bucket whose stars are all connected holds one
-    apart = _across(votes.select("node", "rep"), labels).select("node", "rep")
-    open_keys = stored(stars.join(apart, ["node", "rep"]).select("key").distinct(), "neardup-open")
-    ends = stored(spread_join(stars, open_keys, ["key"]), "neardup-ends")
-    ends = stored(ends.select("key", "node").unionAll(ends.select("key", F.col("rep").alias("node"))).distinct(), "neardup-members")
-    known = stored(attached(distinct.select(F.col("row").alias("node"), "size", "bag", F.array_distinct("keys").alias("keys")), ends.select("node").distinct(), "node"), "neardup-bags")
+    apart = _across(votes.select("node", "rep"), labels, n_met).select("node", "rep")
+    open_keys = spread_join(stars, apart, ["node", "rep"], rows=n_votes).select("key").distinct()
+    ends = stored(spread_join(stars, open_keys, ["key"], rows=n_stars), "neardup-ends")
+    ends, n_ends = counted(ends.select("key", "node").unionAll(ends.select("key", F.col("rep").alias("node"))).distinct(), "neardup-members", 2 * n_stars)
+    known = stored(attached(distinct.select(F.col("row").alias("node"), "size", "bag", F.array_distinct("keys").alias("keys")), ends.select("node").distinct(), "node", n_met), "neardup-bags")
     # a few pairs of each node first: where many are links, they connect most
     for low, high in ((0.0, FEW), (FEW, np.inf)):
-        found, most = _untested(ends, known, labels, low, high)
+        found, most = _untested(ends, known, labels, n_ends, low, high)
         if not most:
             break
         found, n = counted(found, "neardup-untested")
         if n:
-            connect(stored(_across(found, labels).select("node", "rep", "mine", "other"), "neardup-across"))
+            connect(stored(_across(found, labels, n_met).select("node", "rep", "mine", "other"), "neardup-across", n), n)
         if most <= FEW:
             break
     return reps.join(labels.withColumnRenamed("node", "row"), "row", "left").select("digest", F.coalesce("label", "row").alias("label"))
