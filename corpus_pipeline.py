@@ -1,8 +1,11 @@
 """Corpus preparation: stages over documents, each written as Parquet and read again by the next.
 
 Every stage but the last returns the columns of documents: rules reject junk, one document of each group of near
-duplicates stays, documents that hold benchmark passages go, personal data is replaced in the text. The last packs what
-is left into training sequences.
+duplicates stays, documents that hold any benchmark passage go (one window of the benchmark is enough, however long the
+document), personal data is replaced in the text. The last packs what is left into training sequences.
+
+Cases: a null or empty text, or one of few words, fails the rules; of repeated rows one stays; an empty table gives an empty
+result; other columns stay as they are, whatever their names, until the last stage, which returns its own.
 """
 
 from __future__ import annotations
