@@ -163,28 +163,17 @@ FEATURES = sorted({p for parts in PARTS.values() for s in parts for p in pairs_o
 
 
 def _trie(words: list[str]) -> str:
-    """A pattern for any of the words, with common beginnings written once."""
+    """A pattern for any of the word pairs, with common beginnings written once; what is no word may stand for the blank."""
     below = defaultdict(list)
     for w in words:
         below[w[:1]].append(w[1:])
-    parts = [regex.escape(c) + _trie(rest) for c, rest in sorted(below.items()) if c]
+    parts = [("[^a-z0-9]+" if c == " " else regex.escape(c)) + _trie(rest) for c, rest in sorted(below.items()) if c]
     made = parts[0] if len(parts) == 1 and "" not in below else "(?:" + "|".join(parts) + ")" if parts else ""
     return f"(?:{made})?" if "" in below and made else made
 
 
-def _gate() -> str:
-    seconds = defaultdict(list)
-    for p in FEATURES:
-        a, b = p.split()
-        seconds[a].append(b)
-    by_end = defaultdict(list)
-    for a, b in seconds.items():
-        by_end[tuple(b)].append(a)
-    return "(?<![a-z0-9])(?:" + "|".join(f"{_trie(a)}[^a-z0-9]+{_trie(list(b))}" for b, a in sorted(by_end.items())) + ")"
-
-
 #: Finds every lower-cased sentence that has a feature (and some others).
-GATE = _gate()
+GATE = "(?<![a-z0-9])" + _trie(FEATURES)
 
 
 def _pairs(text: Column) -> Column:
