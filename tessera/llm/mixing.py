@@ -15,8 +15,11 @@ make up the text's code length.
 The counts come from all training texts. Those of tokens outside the lexicon stay in a table that grows with the input
 and is joined; those of hashed contexts are counted by tasks into tables of fixed size, which are summed by slice and
 broadcast, as the lexicon is. Token counts for the base score are exact: the lexicon's are broadcast, all others joined.
-The weights' starting values are fitted on a bounded number of training texts (`most_tuning`, in expectation) that the
-predictors' tables leave out.
+
+The weights' starting values are fitted on all training texts as well. While a task counts, it notes of each text's
+decisions what the counts of the texts before said (in levels: a table of fixed size) and which bit came; the sums over all tasks
+are what logistic regressions need. An escape's weights come from all training texts' escapes, scored with the text's own
+occurrences taken off all counts.
 
 Cases: a null text is the empty one (one token, the end); repeated rows are scored alike and each counts in training;
 without training rows all counts are 0; an empty table gives an empty result; other columns are ignored.
@@ -48,7 +51,6 @@ BITS = (22, 22, 20, 20)
 OWN_CONTEXT = 4096
 #: The first block's tokens; each further block is twice as long.
 BLOCK = 32
-MOST_TUNING = 2_000
 ADD = 0.4
 RATE = 0.15
 
@@ -56,6 +58,14 @@ END = b""
 GATES, INPUTS = 8, 4
 BYTE_CONTEXTS = (2, 4)
 CHUNK = 1 << 15
+#: A counting task gets so many tokens at least where there are enough for all cores: each sends tables of full size.
+TASK_TOKENS = 1 << 22
+#: What predictors say, as levels for the fit of the weights: steps and most steps to a side, of a node's own chance and of tables.
+OWN_STEP, OWN_LEVELS = 0.15, 5
+STEP, LEVELS = 0.6, 15
+#: Decisions by gate's depth, what the match model says (nothing, 0, 1), the level of each other input, bit; and those of bytes.
+SAID = (GATES // 2, 3, 2 * OWN_LEVELS + 1, 2 * LEVELS + 1, 2 * LEVELS + 1, 2)
+SAID_BYTES = (2 * LEVELS + 1, 2 * LEVELS + 1, 2)
 #: Gates of what an escape stands for: by the powers of two of the escapes before.
 ESCAPE_GATES = 8
 
@@ -84,6 +94,11 @@ class Code(NamedTuple):
 
 
 def huffman(weights: np.ndarray) -> Code:
+    return unfolded(*tree(weights))
+
+
+def tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each node's parent and side, and each inner node's own chance of a 1."""
     n = len(weights)
     heap = list(zip(weights.tolist(), range(n), strict=True))
     heapq.heapify(heap)
@@ -94,13 +109,17 @@ def huffman(weights: np.ndarray) -> Code:
         side[j] = 1
         mass[node - n] = a, b
         heapq.heappush(heap, (a + b, node))
+    return parent, side, np.log((mass[:, 1] + ADD) / (mass[:, 0] + ADD)).astype(np.float32)
+
+
+def unfolded(parent: np.ndarray, side: np.ndarray, stretch: np.ndarray) -> Code:
+    n = len(stretch)
     root = 2 * n - 2
     depth, at = np.zeros(n, np.int32), np.arange(n, dtype=np.int32)
     while (below := at != root).any():
         depth += below
         at = np.where(below, parent[at], root)
     first = np.concatenate([[0], np.cumsum(depth, dtype=np.int64)]).astype(np.int32)
-    stretch = np.log((mass[:, 1] + ADD) / (mass[:, 0] + ADD)).astype(np.float32)
     nodes, bits, gate = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int8), np.zeros(first[-1], np.int8)
     # from the leaves up, all symbols at once
     symbol, at = np.arange(n), np.arange(n, dtype=np.int32)
@@ -120,6 +139,15 @@ class Lexicon(NamedTuple):
     context: np.ndarray  # of each rank
     code: Code
     byte_code: Code
+    trees: tuple = ()  # of the codes, which are sent as these: they take a tenth of the room
+
+    def __reduce__(self):
+        return _received, (zstandard.compress(b" ".join(self.number)), self.context, self.trees)
+
+
+def _received(names: bytes, context: np.ndarray, trees: tuple) -> Lexicon:
+    number = {t: i for i, t in enumerate(zstandard.decompress(names).split(b" "))}
+    return Lexicon(number, context, *(unfolded(*t) for t in trees), trees)
 
 
 def lexicon(counted: list[bytes], counts: np.ndarray, others: int) -> Lexicon:
@@ -127,7 +155,8 @@ def lexicon(counted: list[bytes], counts: np.ndarray, others: int) -> Lexicon:
     number = {t: i for i, t in enumerate(counted)}
     letters = np.ones(256) + np.bincount(np.frombuffer(b" ".join([*counted, b""]), np.uint8), minlength=256)
     context = np.array([i if i < OWN_CONTEXT else _suffix(t) for t, i in number.items()] + [OWN_CONTEXT], np.int32)
-    return Lexicon(number, context, huffman(np.append(counts, max(others, 1)).astype(np.float64)), huffman(letters))
+    trees = tree(np.append(counts, max(others, 1)).astype(np.float64)), tree(letters)
+    return Lexicon(number, context, *(unfolded(*t) for t in trees), trees)
 
 
 def _suffix(t: bytes) -> int:
@@ -242,19 +271,62 @@ def read(found: list[list[bytes]], lex: Lexicon, match: bool = True) -> Slice:
 
 
 def no_counts() -> list[np.ndarray]:
-    return [np.zeros(2 << b, np.int64) for b in BITS]
-
-
-def count(s: Slice, lex: Lexicon, into: list[np.ndarray]) -> None:
-    """Add the slice's decisions to the tables: into[table][slot + slots * bit]."""
-    index, place = _expand(lex.code, s.symbol)
-    for k, c in enumerate((s.context, s.further)):
-        np.add.at(into[k], _slot(_hashed(c), index, lex.code.nodes[place], BITS[k]) + (lex.code.bits[place].astype(np.int32) << BITS[k]), 1)
+    """[bit, slot] of each table; a slot's two counts lie beside each other."""
+    return [np.zeros((1 << b, 2), np.int32).T for b in BITS]
+
+
+def nothing_said() -> list[np.ndarray]:
+    return [np.zeros(math.prod(shape), np.int64) for shape in (SAID, SAID_BYTES)]
+
+
+def own_levels(code: Code) -> np.ndarray:
+    """The first part of the cells of what is said: of each place in the code, by its gate and the node's own chance."""
+    level = np.clip(np.rint(code.stretch / np.float32(OWN_STEP)), -OWN_LEVELS, OWN_LEVELS).astype(np.int32) + np.int32(OWN_LEVELS)
+    return (code.gate * np.int32(3 * SAID[2]) + level) * np.int32(SAID[3] * SAID[4] * 2) + code.bits
+
+
+def _level(counts: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """What the counts so far say at the slots, as a level around 0."""
+    x = counts.view(np.int64).take(slot, mode="clip").view(np.int32).astype(np.float32)
+    x += np.float32(ADD)
+    np.log(x, out=x)
+    x = x[1::2] - x[::2]
+    x *= np.float32(1 / STEP)
+    np.rint(x, out=x)
+    return np.clip(x, -LEVELS, LEVELS, out=x)
+
+
+def count(s: Slice, lex: Lexicon, into: list[np.ndarray], said: list[np.ndarray] | None = None, own: np.ndarray | None = None) -> None:
+    """Add the slice's decisions to the tables. said: gets what the tables said before that; own: own_levels() then."""
+    flat = [t.T.reshape(-1) for t in into]
+    code = lex.code
+    index, place = _expand(code, s.symbol)
+    node, bit = code.nodes[place], code.bits[place]
+    slots = [_slot(_hashed(c), index, node, BITS[k]).astype(np.int64) for k, c in enumerate((s.context, s.further))]
+    if said is not None:
+        on, other = _matching(s.symbol, s.guess, code, index, place, node)
+        first, second = (_level(flat[k], slot) for k, slot in enumerate(slots))
+        first *= np.float32(SAID[4] * 2)
+        second *= np.float32(2)
+        first += second
+        cell = own[place]
+        cell += first.astype(np.int32)
+        cell[on] += (code.bits[other].astype(np.int32) + np.int32(1)) * np.int32(SAID[2] * SAID[3] * SAID[4] * 2)
+        cell += np.int32(LEVELS * (SAID[4] + 1) * 2)
+        said[0] += np.bincount(cell, minlength=len(said[0]))
+    for t, slot in zip(flat, slots, strict=False):
+        slot *= 2
+        slot += bit
+        np.add.at(t, slot, np.int32(1))
     index, place = _expand(lex.byte_code, s.letters)
-    node, bit = lex.byte_code.nodes[place], lex.byte_code.bits[place].astype(np.int32)
-    times = np.repeat(np.bincount(s.rare_id, minlength=len(s.rare)), s.letter_runs)[index]
-    for k, c in enumerate(s.letter_contexts, 2):
-        np.add.at(into[k], _slot(_hashed(c), index, node, BITS[k]) + (bit << BITS[k]), times)
+    node, bit = lex.byte_code.nodes[place], lex.byte_code.bits[place]
+    times = np.repeat(np.bincount(s.rare_id, minlength=len(s.rare)), s.letter_runs)[index].astype(np.int32)
+    slots = [_slot(_hashed(c), index, node, BITS[k]).astype(np.int64) for k, c in enumerate(s.letter_contexts, 2)]
+    if said is not None:
+        first, second = (_level(t, slot).astype(np.int32) + LEVELS for t, slot in zip(flat[2:], slots, strict=True))
+        said[1] += np.bincount((first * SAID_BYTES[1] + second) * 2 + bit, minlength=len(said[1]))
+    for t, slot in zip(flat[2:], slots, strict=True):
+        np.add.at(t, 2 * slot + bit, times)
 
 
 class Model(NamedTuple):
@@ -262,6 +334,17 @@ class Model(NamedTuple):
     stretch: list[np.ndarray]  # of each table's slots
     weights: np.ndarray  # [gate, input]
     byte_weights: np.ndarray  # [context]
+    byte_counts: tuple = ()  # of each table of bytes, [bit, slot]
+
+    def __reduce__(self):
+        sent = len(self.byte_counts)
+        return _received_model, (self.lex, self.stretch[: len(self.stretch) - sent], self.weights, self.byte_weights, [_pack(c.ravel()) for c in self.byte_counts])
+
+
+def _received_model(lex: Lexicon, stretch: list[np.ndarray], weights: np.ndarray, byte_weights: np.ndarray, packed: list[bytes]) -> Model:
+    """Tables are sent in half precision, but for those of bytes: as packed counts."""
+    counts = tuple(_unpack(c).reshape(2, -1).astype(np.float32) for c in packed)
+    return Model(lex, [t.astype(np.float32) for t in [*stretch, *(stretched(*c) for c in counts)]], weights, byte_weights, counts)
 
 
 def _came(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -273,10 +356,24 @@ def _came(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return np.reciprocal(z, out=z)
 
 
+def _told(stretch: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    # all slots lie within the table; clipping is the faster way to read
+    return stretch.take(slot, mode="clip").astype(np.float32, copy=False)
+
+
 def _byte_inputs(s: Slice, m: Model) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     index, place = _expand(m.lex.byte_code, s.letters)
     node = m.lex.byte_code.nodes[place]
-    return index, [m.stretch[k][_slot(_hashed(c), index, node, BITS[k])].astype(np.float32) for k, c in enumerate(s.letter_contexts, 2)], m.lex.byte_code.bits[place]
+    return index, [_told(m.stretch[k], _slot(_hashed(c), index, node, BITS[k])) for k, c in enumerate(s.letter_contexts, 2)], m.lex.byte_code.bits[place]
+
+
+def _matching(symbol: np.ndarray, guess: np.ndarray, code: Code, index: np.ndarray, place: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The decisions at which the match model speaks, and the expected token's places in the code there."""
+    # while the expected token's code has agreed with all decisions so far
+    on = np.flatnonzero((guess >= 0)[index])
+    other = (code.first[guess] - code.first[symbol])[index[on]] + place[on]
+    agrees = (other < code.first[guess + 1][index[on]]) & (code.nodes[np.minimum(other, len(code.nodes) - 1)] == node[on])
+    return on[agrees], other[agrees]
 
 
 def _token_inputs(s: Slice, m: Model, chosen: np.ndarray) -> tuple:
@@ -285,24 +382,20 @@ def _token_inputs(s: Slice, m: Model, chosen: np.ndarray) -> tuple:
     symbol, guess = s.symbol[chosen], s.guess[chosen]
     index, place = _expand(code, symbol)
     node, gate = code.nodes[place], code.gate[place]
-    # the match model speaks while the expected token's code has agreed with all decisions so far
-    on = np.flatnonzero((guess >= 0)[index])
-    other = (code.first[guess] - code.first[symbol])[index[on]] + place[on]
-    agrees = (other < code.first[guess + 1][index[on]]) & (code.nodes[np.minimum(other, len(code.nodes) - 1)] == node[on])
-    on, other = on[agrees], other[agrees]
+    on, other = _matching(symbol, guess, code, index, place, node)
     gate[on] += GATES // 2
-    inputs = [code.stretch[place], *(m.stretch[k][_slot(_hashed(c[chosen]), index, node, BITS[k])].astype(np.float32) for k, c in enumerate((s.context, s.further)))]
+    inputs = [code.stretch[place], *(_told(m.stretch[k], _slot(_hashed(c[chosen]), index, node, BITS[k])) for k, c in enumerate((s.context, s.further)))]
     return index, inputs, code.bits[place], gate, on, 2.0 * code.bits[other].astype(np.float32) - 1
 
 
-def bits(s: Slice, m: Model, n_docs: int, rate: float = RATE, learned: list | None = None) -> np.ndarray:
-    """The code length of each text in bits. learned: gets the texts' refined weights and how many decisions made them."""
-    total, seen = np.zeros(n_docs), np.zeros(n_docs)
+def bits(s: Slice, m: Model, n_docs: int, rate: float = RATE) -> np.ndarray:
+    """The code length of each text in bits."""
+    total = np.zeros(n_docs)
     w = [np.tile(m.weights[:, k].astype(np.float32), n_docs) for k in range(INPUTS)]
     block = np.log2(s.at / BLOCK + 1).astype(np.int8)
     last = np.zeros(n_docs, np.int8)
     np.maximum.at(last, s.doc, block)
-    # what a text's last block teaches is of no use any more, unless it is asked for
+    # what a text's last block teaches is of no use any more
     step = 2 * block + (last[s.doc] == block)
     order = np.argsort(step, kind="stable")
     ends = np.searchsorted(step[order], np.arange(step.max() + 2 if len(step) else 1))
@@ -318,16 +411,13 @@ def bits(s: Slice, m: Model, n_docs: int, rate: float = RATE, learned: list | No
         z[on] += w[-1][cell[on]] * says
         p = _came(z, bit)
         total -= np.bincount(s.doc[chosen], np.add.reduceat(np.log(p), _begin(m.lex.code, s.symbol[chosen])), minlength=n_docs)
-        if k % 2 and learned is None:
+        if k % 2:
             continue
         miss = (np.float32(1) - p) * (np.float32(2) * bit - np.float32(1))
         n = np.bincount(cell, minlength=n_docs * GATES)
-        seen += n.reshape(n_docs, GATES).sum(axis=1)
         scale = rate / np.sqrt(np.maximum(n, 1))
         for j, step in enumerate((*(np.bincount(cell, miss * a, n_docs * GATES) for a in x), np.bincount(cell[on], miss[on] * says, n_docs * GATES))):
             w[j] += (step * scale).astype(np.float32)
-    if learned is not None:
-        learned.append((np.stack(w, axis=1).reshape(n_docs, GATES, INPUTS), seen))
     return total / math.log(2)
 
 
@@ -341,6 +431,25 @@ def spelled(s: Slice, m: Model) -> np.ndarray:
     return np.add.reduceat(letters, np.cumsum(s.letter_runs) - s.letter_runs)
 
 
+def spelled_alone(s: Slice, m: Model, which: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """spelled() of the escaped tokens `which`, with so many occurrences of each taken off the counts that tell it."""
+    runs = s.letter_runs[which]
+    if not len(runs):
+        return np.zeros(0)
+    begin, starts = np.cumsum(runs) - runs, np.cumsum(s.letter_runs) - s.letter_runs
+    at = np.repeat(starts[which] - begin, runs) + np.arange(runs.sum())
+    code, letters = m.lex.byte_code, s.letters[at]
+    index, place = _expand(code, letters)
+    node, bit = code.nodes[place], code.bits[place]
+    off = np.repeat(times, runs)[index]
+    z = np.zeros(len(index), np.float32)
+    for k, v in enumerate(m.byte_weights.astype(np.float32)):
+        slot = _slot(_hashed(s.letter_contexts[k][at]), index, node, BITS[2 + k])
+        zeros, ones = (np.maximum(m.byte_counts[k][b][slot] - off * (bit == b), 0) for b in (0, 1))
+        z += v * np.log((ones + ADD) / (zeros + ADD)).astype(np.float32)
+    return np.add.reduceat(np.add.reduceat(np.log(_came(z, bit)).astype(np.float64), _begin(code, letters)), begin)
+
+
 def recalled(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     """For each escaped token the gate, and the share that it has of its text's escapes before."""
     doc = s.doc[s.spelled].astype(np.int64)
@@ -356,47 +465,48 @@ def recalled(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return gate, same / np.maximum(before, 1)
 
 
-def mixture(gate: np.ndarray, sources: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights [gate, source] of distributions, by expectation-maximisation over what each gives the tokens that came ([token, source])."""
+def mixture(gate: np.ndarray, sources: np.ndarray, rounds: int = 30, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights [gate, source] of distributions, by expectation-maximisation over what each gives the tokens that came ([token, source],
+    each so many times)."""
+    times = np.ones(len(gate)) if times is None else times
     w = np.full((ESCAPE_GATES, sources.shape[1]), 1 / sources.shape[1])
     for _ in range(rounds):
         part = w[gate] * sources
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+        part *= (times / np.maximum(part.sum(axis=1), 1e-300))[:, None]
         for g in range(ESCAPE_GATES):
-            n = (gate == g).sum()
+            n = times[gate == g].sum()
             w[g] = (part[gate == g].sum(axis=0) + 1) / (n + sources.shape[1])
     # before any escape there is none to recall, so its weight goes to the others
     w[0, 1] = 0
     return w / w.sum(axis=1, keepdims=True)
 
 
-def tune(texts: list[str | None], lex: Lexicon, stretch: list[np.ndarray], epochs: int = 4, at_once: int = 100) -> Model:
-    """Starting weights: those that texts refine to, on average, and for bytes a gradient fit."""
-    m = Model(lex, stretch, np.tile(np.array([0.4, 0.4, 0.4, 0.5], np.float32), (GATES, 1)), np.full(len(BYTE_CONTEXTS), 0.4, np.float32))
-    read_some = lambda k: read([tokens(t) for t in texts[k : k + at_once]], lex)
-    for _ in range(epochs if texts else 0):
-        weights, seen = np.zeros((GATES, INPUTS)), 1e-9
-        for k in range(0, len(texts), at_once):
-            learned: list = []
-            bits(read_some(k), m, len(texts[k : k + at_once]), rate=2 * RATE, learned=learned)
-            w, n = learned[0]
-            weights, seen = weights + np.tensordot(n, w, 1), seen + n.sum()
-        m = m._replace(weights=(weights / seen).astype(np.float32))
-    inputs = []
-    for k in range(0, len(texts), at_once):
-        if len((s := read_some(k)).letters):
-            _, x, bit = _byte_inputs(s, m)
-            inputs.append((np.stack(x), bit))
-        if sum(len(b) for _, b in inputs) > 1 << 20:
-            break
-    if inputs:
-        x, bit, v = np.concatenate([x for x, _ in inputs], axis=1), np.concatenate([b for _, b in inputs]), m.byte_weights.astype(np.float64)
-        for _ in range(8):
-            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(v, x, strict=True))))
-            h = np.array([[(a * b * p * (1 - p)).sum() for a in x] for b in x]) + 1e-3 * np.eye(len(v))
-            v = v - np.linalg.solve(h, np.array([(a * (p - bit)).sum() for a in x]))
-        m = m._replace(byte_weights=v.astype(np.float32))
-    return m
+def _regression(x: np.ndarray, zeros: np.ndarray, ones: np.ndarray, start: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Logistic regression (no constant) of bits over inputs [cell, input] that came so often with each bit, drawn to start a little."""
+    v = start.astype(np.float64)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        n = zeros + ones
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(v))
+        v = v - np.clip(np.linalg.solve(h, x.T @ (n * p - ones) + (v - start)), -0.5, 0.5)
+    return v
+
+
+def fitted(said: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starting weights [gate, input] and those of bytes, from what count() noted of all training texts."""
+    weights = np.tile(np.array([0.4, 0.4, 0.4, 0.5]), (GATES, 1))
+    cells = said[0].reshape(SAID)
+    for gate in range(GATES):
+        part = cells[gate % (GATES // 2)]
+        part = part[:1] if gate < GATES // 2 else part[1:]
+        at = np.nonzero(part.sum(axis=-1))
+        says = 2.0 * at[0] - 1 if gate >= GATES // 2 else np.zeros(len(at[0]))
+        x = np.column_stack([(at[1] - OWN_LEVELS) * OWN_STEP, (at[2] - LEVELS) * STEP, (at[3] - LEVELS) * STEP, says])
+        weights[gate] = _regression(x, part[..., 0][at], part[..., 1][at], weights[gate])
+    part = said[1].reshape(SAID_BYTES)
+    at = np.nonzero(part.sum(axis=-1))
+    byte_weights = _regression((np.column_stack(at) - LEVELS) * STEP, part[..., 0][at], part[..., 1][at], np.full(len(BYTE_CONTEXTS), 0.4))
+    return weights.astype(np.float32), byte_weights.astype(np.float32)
 
 
 def _held_out():
@@ -430,64 +540,87 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + ADD) / (zeros + ADD)).astype("<f2")
 
 
-def tables(training: DataFrame, lex: Lexicon) -> list[np.ndarray]:
-    """Counts of the hashed contexts over all training texts, as each table's stretched chances."""
-    sent = training.sparkSession.sparkContext.broadcast(lex)
+def _pack(counts: np.ndarray) -> bytes:
+    """Byte by byte of all numbers: most have but one that is not 0."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def tables(training: DataFrame, lex: Lexicon, n_tokens: int) -> Model:
+    """Counts of the hashed contexts over all training texts as each table's stretched chances, and the weights."""
+    spark = training.sparkSession
+    sent = spark.sparkContext.broadcast(lex)
+    n_said = -(-sum(math.prod(shape) for shape in (SAID, SAID_BYTES)) // (2 * CHUNK))
+    n_chunks, n_tokens_chunks = sum(1 << b for b in BITS) // CHUNK, sum(1 << b for b in BITS[:2]) // CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = no_counts()
-        any_text = False
-        for batch in slices(batches, most_bytes=1 << 20):
-            any_text = True
-            count(read([tokens(t) for t in _raw(batch.column(0))], sent.value, match=False), sent.value, into)
-        if any_text:
-            compress = zstandard.ZstdCompressor(level=1).compress
+        into, said, seen = no_counts(), nothing_said(), 0
+        own = own_levels(sent.value.code)
+        for batch in slices(batches, most_bytes=1 << 18):
+            texts = _raw(batch.column(0))
+            at = 0
+            while at < len(texts):
+                # no more texts at once than have been counted: the later ones would say nothing of each other
+                some = texts[at : at + max(1, seen)]
+                count(read([tokens(t) for t in some], sent.value), sent.value, into, said, own)
+                at, seen = at + len(some), seen + len(some)
+        if seen:
             k = 0
             for t in into:
-                zeros, ones = t.reshape(2, -1)
-                for at in range(0, len(zeros), CHUNK):
-                    both = np.concatenate([zeros[at : at + CHUNK], ones[at : at + CHUNK]]).astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([compress(both)], pa.binary())], names=["chunk", "counts"])
+                for at in range(0, t.shape[1], CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(t[:, at : at + CHUNK].ravel())], pa.binary())], names=["chunk", "counts"])
                     k += 1
+            all_said = np.zeros(n_said * 2 * CHUNK, np.int64)
+            all_said[: sum(map(len, said))] = np.concatenate(said)
+            for part in np.split(all_said, n_said):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["chunk", "counts"])
+                k += 1
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c = np.frombuffer(zstandard.decompress(raw), "<u4").astype(np.int64)
+                c = _unpack(raw)
                 held[k] = held[k] + c if k in held else c
         for k, c in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([stretched(*c.reshape(2, CHUNK)).tobytes()], pa.binary())], names=["chunk", "stretch"])
+            made = stretched(*c.reshape(2, CHUNK)) if k < n_tokens_chunks else c
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([made.tobytes()], pa.binary())], names=["chunk", "made"])
 
-    n_chunks = sum(1 << b for b in BITS) // CHUNK
-    parts = training.select("text").mapInArrow(run, "chunk int, counts binary").repartition(n_chunks, "chunk").mapInArrow(add, "chunk int, stretch binary").collect()
-    out = np.zeros((n_chunks, CHUNK), np.float16)
+    few = max(spark.sparkContext.defaultParallelism, n_tokens // TASK_TOKENS)
+    parts = training.select("text").coalesce(few).mapInArrow(run, "chunk int, counts binary").repartition(n_chunks, "chunk").mapInArrow(add, "chunk int, made binary").collect()
+    stretch, sums = np.zeros((n_tokens_chunks, CHUNK), np.float16), np.zeros((n_chunks - n_tokens_chunks + n_said, 2, CHUNK), np.int64)
     for k, raw in parts:
-        out[k] = np.frombuffer(raw, "<f2")
-    return np.split(out.ravel(), np.cumsum([1 << b for b in BITS])[:-1])
-
-
-def _escapes(texts: list[str], m: Model, counts: DataFrame, n_tail: int, at_once: int = 100) -> np.ndarray:
-    """The weights of an escape's distributions, from the tuning texts' escapes; a text's own tokens are taken off the counts."""
-    slices_of = [read([tokens(t) for t in texts[k : k + at_once]], m.lex) for k in range(0, len(texts), at_once)]
-    rare = sorted({t for s in slices_of for t in s.rare})
-    spark = counts.sparkSession
-    found = counts.join(F.broadcast(spark.createDataFrame([(bytearray(t),) for t in rare], "token binary")), "token", "left_semi").collect() if rare else []
-    number, gates, sources = {bytes(r[0]): r[1] for r in found}, [np.zeros(0, np.int64)], [np.zeros((0, 3))]
-    for s in slices_of:
-        if not len(s.spelled):
-            continue
-        c = np.array([number.get(t, 0) for t in s.rare], np.float64)[s.rare_id]
-        pair = s.doc[s.spelled].astype(np.int64) * (len(s.rare) + 1) + s.rare_id
-        _, inverse, times = np.unique(pair, return_inverse=True, return_counts=True)
-        gate, share = recalled(s)
-        gates.append(gate)
-        sources.append(np.column_stack([np.maximum(c - times[inverse], 0) / n_tail, share, np.exp(spelled(s, m))[s.rare_id]]))
-    return mixture(np.concatenate(gates), np.concatenate(sources))
-
-
-def report(docs: DataFrame, most_lexicon: int = LEXICON, most_tuning: int = MOST_TUNING) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs."""
+        if k < n_tokens_chunks:
+            stretch[k] = np.frombuffer(raw, "<f2")
+        else:
+            sums[k - n_tokens_chunks] = np.frombuffer(raw, np.int64).reshape(2, CHUNK)
+    of_bytes = np.split(sums[:-n_said].transpose(1, 0, 2).reshape(2, -1), np.cumsum([1 << b for b in BITS[2:]])[:-1], axis=1)
+    all_said = sums[-n_said:].ravel()
+    weights, byte_weights = fitted([all_said[: math.prod(SAID)], all_said[math.prod(SAID) :][: math.prod(SAID_BYTES)]])
+    both = [*np.split(stretch.ravel(), np.cumsum([1 << b for b in BITS[:2]])[:-1]), *(stretched(*c) for c in of_bytes)]
+    return Model(lex, both, weights, byte_weights, tuple(c.astype(np.float32) for c in of_bytes))
+
+
+def _escapes(tail: DataFrame, n_tail: int) -> np.ndarray:
+    """The weights of an escape's distributions, from all training texts' escapes; a text's own tokens are taken off the counts.
+    Weights depend on the distributions' ratios alone, which are summed up in steps of half a power of two."""
+    each = tail.filter(~F.col("held_out")).select((F.col("c") - F.size("recall")).alias("c"), F.col("alone"), F.explode("recall").alias("x"))
+    gate = F.floor(F.col("x") / 2).cast("int")
+    step = lambda p: F.when(p > 0, F.round(2 * (F.log2(p) - F.col("alone") / math.log(2))).cast("int"))
+    cells = each.select(gate.alias("gate"), step(F.col("c") / n_tail).alias("by_count"), step((F.col("x") - 2 * gate).cast("double")).alias("by_recall"))
+    found = cells.groupBy("gate", "by_count", "by_recall").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    # relative to the greatest of the three
+    logs = np.column_stack([*(found[c].cast(pa.float64()).fill_null(-math.inf).to_numpy() / 2 for c in ("by_count", "by_recall")), np.zeros(found.num_rows)])
+    sources = np.exp2(logs - logs.max(axis=1, keepdims=True)) if found.num_rows else logs
+    return mixture(found["gate"].to_numpy(), sources, times=found["n"].to_numpy().astype(np.float64))
+
+
+def report(docs: DataFrame, most_lexicon: int = LEXICON, most_tuning: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs.
+    most_tuning bounds nothing any more (all training texts tune the weights) and is there for callers that name it."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", _held_out().alias("held_out"))
     training = rows.filter(~F.col("held_out"))
@@ -504,15 +637,9 @@ def report(docs: DataFrame, most_lexicon: int = LEXICON, most_tuning: int = MOST
     top, n_top = collected["token"].to_pylist(), collected["n"].to_numpy()
     floor = math.log10(n_all + 0.1 * (v_all + 1))
     lex = lexicon(top or [END], n_top if top else np.ones(1), n_all - int(n_top.sum()))
-    # a twentieth of the training texts, or as many as the bound, tune the weights
     n_rows = training.count()
-    n = max(n_rows, 1)
-    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("tuning")), F.lit(max(n, 20)))
-    tuning = share < min(most_tuning, n // 20)
-    texts = sorted(r[0] or "" for r in training.filter(tuning).select("text").distinct().collect())
-    model = tune(texts, lex, tables(training.filter(~F.coalesce(tuning, F.lit(False))), lex))
+    model = tables(training, lex, n_all)
     n_tail = max(n_all - int(n_top.sum()), 1)
-    weights = _escapes(texts, model, counts, n_tail)
     # without any frequent token the lexicon is the end alone, which every training text has
     heads = np.log10((n_top if top else np.array([n_rows])) + 0.1) - floor
     known = max(len(top), 1)
@@ -532,14 +659,18 @@ def report(docs: DataFrame, most_lexicon: int = LEXICON, most_tuning: int = MOST
             plain = np.flatnonzero(s.symbol < known)
             base = np.bincount(s.doc[plain], head[s.symbol[plain]], minlength=k)
             n_head = np.bincount(s.doc[plain], minlength=k) * (n_rows > 0)
-            # the escaped tokens of each text, once each, with the spelling's probability and what each occurrence recalls
+            # the escaped tokens of each text, once each, with the logarithm of the spelling's probability and what each occurrence recalls
             pair = s.doc[s.spelled].astype(np.int64) * (len(s.rare) + 1) + s.rare_id
             order = np.argsort(pair, kind="stable")
             other, first = np.unique(pair[order], return_index=True)
             ends = np.searchsorted(other, np.arange(k + 1) * (len(s.rare) + 1)).astype(np.int32)
-            named = pa.array(s.rare, pa.binary()).take(pa.array(other % (len(s.rare) + 1)))
+            which, times = other % (len(s.rare) + 1), np.diff(np.append(first, len(order)))
+            learnt = ~batch.column(2).to_numpy(zero_copy_only=False)[other // (len(s.rare) + 1)]
+            alone = np.zeros(len(other))
+            alone[learnt] = spelled_alone(s, m, which[learnt], times[learnt])
             each = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array((2 * gate + recall)[order].astype(np.float32)))
-            tails = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([named, pa.array(np.exp(spelled(s, m))[s.rare_id[order][first]]), each], names=["token", "spelled", "recall"]))
+            parts = [pa.array(s.rare, pa.binary()).take(pa.array(which)), pa.array(spelled(s, m)[which]), pa.array(alone), each]
+            tails = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["token", "spelled", "alone", "recall"]))
             size = np.array([max(1, len(t or b"")) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(task + row + np.arange(k)), pa.array(np.array([len(x) for x in found], np.int64)), pa.array(n_head.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(-length * math.log10(2)), pa.array(size), tails],
@@ -547,14 +678,18 @@ def report(docs: DataFrame, most_lexicon: int = LEXICON, most_tuning: int = MOST
             )
             row += k
 
-    scored = stored(rows.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_head long, head double, coded double, n_bytes long, tail array<struct<token:binary,spelled:double,recall:array<float>>>"), "mixing-scored")
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*").join(counts, "token", "left")
-    c, times = F.coalesce("n", F.lit(0)), F.size("recall")
+    scored = stored(rows.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_head long, head double, coded double, n_bytes long, tail array<struct<token:binary,spelled:double,alone:double,recall:array<float>>>"), "mixing-scored")
+    tail = scored.select("row", "held_out", F.explode("tail").alias("t")).select("row", "held_out", "t.*").join(counts, "token", "left")
+    tail = stored(tail.select("row", "held_out", F.coalesce("n", F.lit(0)).alias("c"), "spelled", "alone", "recall"), "mixing-tail")
+    weights = _escapes(tail, n_tail)
+    c, times = F.col("c"), F.size("recall")
     by_count, by_recall, by_spelling = (F.array(*map(F.lit, weights[:, j].tolist())) for j in range(3))
 
     def told(total, x):
         gate = F.floor(x / 2).cast("int")
-        return total + F.log10(F.get(by_count, gate) * c / n_tail + F.get(by_recall, gate) * (x - 2 * gate) + F.get(by_spelling, gate) * F.col("spelled"))
+        told_by_all = F.log10(F.get(by_count, gate) * c / n_tail + F.get(by_recall, gate) * (x - 2 * gate) + F.get(by_spelling, gate) * F.exp("spelled"))
+        # the spelling of a very long token is too unlikely for a double, and its logarithm then null
+        return total + F.greatest(told_by_all, F.log10(F.get(by_spelling, gate)) + F.col("spelled") * math.log10(math.e))
 
     coded = F.aggregate(F.transform("recall", lambda x: x.cast("double")), F.lit(0.0), told)
     by_row = tail.groupBy("row").agg(F.sum(times * (F.log10(c + 0.1) - floor)).alias("more"), F.sum(F.when(c > 0, times).otherwise(0)).alias("more_known"), F.sum(coded).alias("more_coded"))

@@ -1,4 +1,5 @@
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -193,3 +194,92 @@ def test_edges(frame):
             own = mixing.tokens(dict(texts)[r.doc_id])
             assert abs(r.base_score - sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own)) < 1e-9
             assert (r.n_known, r.train_tokens) == (sum(counts[t] > 0 for t in own), n)
+
+
+def test_all_training_texts_teach(frame, monkeypatch):
+    """Every training text is in the hashed counts and in the fit of the weights, and every escape in that of its weights."""
+    made = {}
+    tables, mixture = mixing.tables, mixing.mixture
+    monkeypatch.setattr(mixing, "fitted", lambda said, fit=mixing.fitted: (made.update(said=[int(x.sum()) for x in said]), fit(said))[1])
+    monkeypatch.setattr(mixing, "tables", lambda *a: made.setdefault("model", tables(*a)))
+    monkeypatch.setattr(mixing, "mixture", lambda gate, sources, **a: (made.update(escapes=a["times"].sum()), mixture(gate, sources, **a))[1])
+    draw = np.random.default_rng(6)
+    docs = [" ".join(f"w{k}" for k in draw.integers(0, 400, 30)) for _ in range(300)] + ["one two " * 30]
+    mixing.report(frame(docs)).collect()
+    m = made["model"]
+    training = [mixing.tokens(t) for i, t in enumerate(docs) if zlib.crc32(str(i).encode()) % 10]
+    s = mixing.read(training, m.lex)
+    into = mixing.no_counts()
+    mixing.count(s, m.lex, into)
+    assert all((mixing.stretched(*t) == x).all() for t, x in zip(into, m.stretch, strict=True))
+    assert made["said"][0] == len(mixing._expand(m.lex.code, s.symbol)[0]) and made["escapes"] == len(s.spelled)
+
+
+def test_what_is_said_before_counting(texts):
+    """Levels by what the earlier texts' counts say, decision by decision."""
+    lex = model(texts).lex
+    into, said, own = mixing.no_counts(), mixing.nothing_said(), mixing.own_levels(lex.code)
+    first, then = (mixing.read([mixing.tokens(t) for t in some], lex) for some in (texts[:40], texts[40:43]))
+    mixing.count(first, lex, into)
+    before = [t.copy() for t in into]
+    mixing.count(then, lex, into, said, own)
+    m = mixing.Model(lex, [mixing.stretched(*t).astype(np.float32) for t in before], np.zeros((8, 4)), np.zeros(2))
+    _, x, bit, gate, on, says = mixing._token_inputs(then, m, np.arange(len(then.symbol)))
+    level = lambda v, step, most: np.clip(np.rint(v.astype(np.float32) / step), -most, most).astype(int) + most
+    spoken = np.zeros(len(bit), int)
+    spoken[on] = (says > 0) + 1
+    exact = [np.log((b[1] + mixing.ADD) / (b[0] + mixing.ADD)) for b in before]
+    exact = mixing._token_inputs(then, m._replace(stretch=exact), np.arange(len(then.symbol)))[1]
+    cells = (gate % 4, spoken, level(x[0], np.float32(mixing.OWN_STEP), mixing.OWN_LEVELS), *(level(e, mixing.STEP, mixing.LEVELS) for e in exact[1:]), bit)
+    want = np.bincount(np.ravel_multi_index(cells, mixing.SAID), minlength=len(said[0]))
+    assert said[0].sum() == want.sum() and np.abs(said[0] - want).sum() < 0.01 * want.sum()
+
+
+def test_fitted_weights():
+    """Bits drawn from known weights give these back."""
+    draw = np.random.default_rng(5)
+    said = mixing.nothing_said()
+    a, b = (draw.integers(-6, 7, 200_000) for _ in range(2))
+    for k, shape in enumerate((mixing.SAID, mixing.SAID_BYTES)):
+        p = 1 / (1 + np.exp(-mixing.STEP * (0.7 * a + 0.3 * b)))
+        cells = [a + mixing.LEVELS, b + mixing.LEVELS, (draw.random(len(a)) < p).astype(int)]
+        cells = cells if k else [np.zeros_like(a), np.zeros_like(a), np.full_like(a, mixing.OWN_LEVELS), *cells]
+        said[k] += np.bincount(np.ravel_multi_index(cells, shape), minlength=len(said[k]))
+    weights, byte_weights = mixing.fitted(said)
+    assert np.allclose(weights[0, 1:3], [0.7, 0.3], atol=0.03) and np.allclose(byte_weights, [0.7, 0.3], atol=0.03)
+    assert np.allclose(weights[7], [0.4, 0.4, 0.4, 0.5])  # nothing seen
+
+
+def test_what_is_sent(trained, texts):
+    """The model comes back as it was from much fewer bytes: every executor keeps them on disk."""
+    counts = tuple(np.random.default_rng(1).integers(0, 3, (2, 1 << b)).astype(np.float32) for b in mixing.BITS[2:])
+    m = trained._replace(byte_counts=counts, stretch=[*trained.stretch[:2], *(mixing.stretched(*c) for c in counts)])
+    sent = pickle.dumps(m)
+    back = pickle.loads(sent)
+    assert back.lex.number == m.lex.number and all((a == b).all() for a, b in zip([*back.lex.code, *back.lex.byte_code, *back.byte_counts], [*m.lex.code, *m.lex.byte_code, *m.byte_counts], strict=True))
+    assert np.allclose(length(back, texts[:10]), length(m, texts[:10]))
+    assert len(pickle.dumps(back.lex)) < sum(a.nbytes for a in m.lex.code) / 2
+
+
+def test_spelled_alone(texts):
+    """As if the token's own occurrences had not been counted."""
+    m = model(texts[:30])
+    known = [[*mixing.tokens(t)[:-1], *x, mixing.END] for t, x in zip(texts[:30], [[b"qqvx"] * 2, *[[b"qqvz"]] * 29], strict=True)]
+    with_it, without = mixing.no_counts(), mixing.no_counts()
+    mixing.count(mixing.read(known, m.lex), m.lex, with_it)
+    mixing.count(mixing.read([[t for t in x if t != b"qqvx"] for x in known], m.lex), m.lex, without)
+    s = mixing.read(known, m.lex)
+    which = np.array([s.rare.index(b"qqvx")])
+    other = m._replace(stretch=[np.log((t[1] + mixing.ADD) / (t[0] + mixing.ADD)).astype(np.float32) for t in without])
+    got = mixing.spelled_alone(s, m._replace(byte_counts=tuple(with_it[2:])), which, np.array([2]))
+    assert np.allclose(got, mixing.spelled(s, other)[which], rtol=1e-3)
+
+
+def test_long_words_cost_what_their_spelling_costs(frame, sample):
+    """A word whose probability is below any double is not free."""
+    draw = np.random.default_rng(3)
+    word = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 4000))
+    docs = [r.text for r in sample.collect()]
+    held = [i for i in range(len(docs), len(docs) + 60) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = {r.doc_id: r.score for r in mixing.report(frame([*enumerate(docs), (held[0], word[:40]), (held[1], word)])).collect()}
+    assert rows[held[1]] < 30 * rows[held[0]] < 0
