@@ -13,8 +13,8 @@ longer ones, whose k-mers are many, the first SKETCHES of them.
 
 Equal word sequences fold into one node first. In each bucket all nodes are compared with the bucket's centre (within
 a task's rows beforehand, so that a hot bucket sends few rows), which connects most groups. Then every pair that shares a
-key and is not connected is tested, a few of each node before all: buckets that still hold several classes are cut by length (a link's lengths differ by
-a fifth at most) and into blocks, and a task tests the pairs of two blocks against a bound on the edits from bags of
+key and is not connected is tested, a few of each node before all: buckets that still hold several classes are, beyond BLOCK nodes, cut by length
+(a link's lengths differ by a fifth at most) and into blocks, and a task tests the pairs of two blocks against a bound on the edits from bags of
 words. Only what the bound leaves becomes rows, once for each pair, and is aligned. No bucket is capped. Joins deal the rows of hot keys (a
 bucket's least node, a large class, a group of copies) over several tasks.
 
@@ -425,6 +425,30 @@ def _bounded(t: pa.Table, low: float, high: float) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def _buckets(slim: DataFrame, n_ends: int) -> DataFrame:
+    """key, n, bands: the buckets of slim (key, node, label, band) that hold several classes, with their nodes and, for each band of lengths,
+    its nodes, least and greatest class."""
+    bands = slim.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    several = (F.min("lo") != F.max("hi")).alias("several")
+    made = bands.groupBy("key").agg(F.sum("n").alias("n"), several, F.collect_list(F.struct("band", "lo", "hi", "n")).alias("bands"))
+    return stored(made.filter("several").drop("several"), "neardup-buckets", n_ends)
+
+
+def _cells(nodes: DataFrame) -> DataFrame:
+    """key, node, at, upper, n, parts: nodes (key, node, label, band, and the bucket's n and bands) in cells of n nodes, to be cut into parts.
+
+    A bucket of at most BLOCK nodes is one cell. A larger one has a cell for each band, which also holds the next band's nodes as `upper`. Nodes
+    that meet none of another class are left out."""
+    other = lambda x: (x["lo"] != F.col("label")) | (x["hi"] != F.col("label"))
+    meets = lambda lo, hi: F.exists("bands", lambda x: x["band"].between(F.col("band") + lo, F.col("band") + hi) & other(x))
+    held = lambda lo: F.aggregate("bands", F.lit(0).cast("long"), lambda n, x: n + F.when(x["band"].between(F.col("band") + lo, F.col("band") + lo + 1), x["n"]).otherwise(0))
+    place = lambda at, upper, n, met: F.struct(at.cast("int").alias("at"), F.lit(upper).alias("upper"), n.alias("n"), met.alias("met"))
+    whole = F.array(place(F.lit(0), False, F.col("n"), meets(-1, 1)))
+    banded = F.array(place(F.col("band"), False, held(0), meets(0, 1)), place(F.col("band") - 1, True, held(-1), meets(-1, -1)))
+    places = nodes.select("key", "node", F.explode(F.when(F.col("n") > BLOCK, banded).otherwise(whole)).alias("p")).select("key", "node", "p.*")
+    return places.filter("met").drop("met").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+
+
 def _untested(ends: DataFrame, known: DataFrame, labels: DataFrame, n_ends: int, low: float, high: float) -> tuple[DataFrame, int]:
     """node, rep, apart: pairs that share a key, are not connected and may be links; and the nodes of the largest cell that still holds several
     classes. ends: key, node (n_ends rows). Of the pairs of a cell of n nodes those count whose hash lies from low / n to high / n."""
@@ -433,16 +457,13 @@ def _untested(ends: DataFrame, known: DataFrame, labels: DataFrame, n_ends: int,
     told = known.join(labels, "node")
     told = stored(told.withColumn("band", band), "neardup-known")
     slim = stored(spread_join(ends, told.select("node", "label", "band"), ["node"], rows=n_ends), "neardup-slim")
-    places = F.explode(F.array(*(F.struct((F.col("band") - k).alias("band"), F.lit(k == 1).alias("upper")) for k in (0, 1))))
-    cells = slim.select("key", "node", "label", places.alias("p")).select("key", "node", "label", "p.*")
-    mixed = cells.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("upper").alias("no_own"), F.count(F.lit(1)).alias("n"))
-    mixed = stored(mixed.filter("lo <> hi and not no_own").select("key", "band", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "neardup-mixed", 2 * n_ends)
-    most = int(mixed.agg(F.max("n")).first()[0] or 0)
+    buckets = _buckets(slim, n_ends)
+    most = int(buckets.agg(F.max("n")).first()[0] or 0)
     if not most:
         return ends.select("node", F.col("node").alias("rep"), F.lit(0).cast("long").alias("apart")).limit(0), 0
-    dealt = spread_join(cells, mixed, ["key", "band"], rows=2 * n_ends).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = _cells(spread_join(slim, buckets, ["key"], rows=n_ends)).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("key", "node", "upper", "salt", "n", (F.col("salt") == F.col("with")).alias("alone"), F.xxhash64("key", "band", F.least("salt", "with"), F.greatest("salt", "with")).alias("cell"))
+    blocks = blocks.select("key", "node", "upper", "salt", "n", (F.col("salt") == F.col("with")).alias("alone"), F.xxhash64("key", "at", F.least("salt", "with"), F.greatest("salt", "with")).alias("cell"))
     full = blocks.join(told.hint("merge"), "node").select("cell", "key", "size", "label", "upper", "salt", "alone", "n", "node", "bag", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

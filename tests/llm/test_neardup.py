@@ -189,3 +189,33 @@ def test_blocks_of_a_bucket(frame, monkeypatch):
     texts = [" ".join(t) for t in [*firsts, *(edited(t, 0.18, draw) for t in firsts)]]
     got = {r.doc_id: r.class_id for r in neardup.report(frame(texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_a_bucket_joins_each_node_once(frame, monkeypatch):
+    """Texts that share a key and lie in several bands of lengths: the joins' rows grow with the bucket, and all pairs within the bound are found."""
+    draw, joined, spread_join = random.Random(10), [], neardup.spread_join
+
+    def counting(*args, **more):
+        out = spread_join(*args, **more)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "spread_join", counting)
+    say = lambda n: " ".join(f"w{draw.randrange(6)}" for _ in range(n))
+    for n, block in ((20, 1024), (40, 1024), (40, 8)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        rows = neardup.nodes(frame([say(draw.randrange(30, 60)) for _ in range(n)]))
+        own = {r.row: r for r in rows.collect()}
+        known = rows.select(rows.row.alias("node"), "size", "bag", neardup.F.array(neardup.F.lit(5).cast("long")).alias("keys"))
+        ends = known.select(neardup.F.lit(5).cast("long").alias("key"), "node")
+        joined.clear()
+        pairs, most = neardup._untested(ends, known, known.select("node", neardup.F.col("node").alias("label")), n, 0.0, np.inf)
+        assert max(joined) == n <= most
+        want = set()
+        for a in own.values():
+            for b in own.values():
+                apart = neardup.bag_distance(np.frombuffer(a.bag, np.uint8), np.frombuffer(b.bag, np.uint8))
+                if a.row > b.row and 2 * max(a.size, b.size) - (a.size + b.size - apart) <= max(a.size, b.size) // 5 * 2:
+                    want.add((a.row, b.row, apart))
+        found = [tuple(r) for r in pairs.select("node", "rep", "apart").collect()]
+        assert len(found) == len(set(found)) > n and set(found) == want
