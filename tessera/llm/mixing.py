@@ -27,16 +27,16 @@ without training rows all counts are 0; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +60,8 @@ BYTE_CONTEXTS = (2, 4)
 CHUNK = 1 << 15
 #: A counting task gets so many tokens at least where there are enough for all cores: each sends tables of full size.
 TASK_TOKENS = 1 << 22
+#: Tokens and their offsets, in bytes, that a task counts at once.
+COUNTED_BYTES = 64 << 20
 #: What predictors say, as levels for the fit of the weights: steps and most steps to a side, of a node's own chance and of tables.
 OWN_STEP, OWN_LEVELS = 0.15, 5
 STEP, LEVELS = 0.6, 15
@@ -78,9 +80,35 @@ def tokens(text: str | bytes | None) -> list[bytes]:
     return found
 
 
-def _raw(column: pa.Array) -> list[bytes | None]:
-    """Texts as their UTF-8 bytes, without decoding them."""
-    return column.cast(pa.binary()).to_pylist()
+def _words(column: pa.Array) -> pa.ListArray:
+    """tokens() of each text, by Arrow: its ASCII blanks are the same six."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(column.fill_null("")))
+    # a last blank makes an empty word at the end; an empty text is one such word already
+    blank = pc.if_else(pc.equal(pc.binary_length(text), 0), "", " ").cast(text.type)
+    return pc.ascii_split_whitespace(pc.binary_join_element_wise(text, blank, pa.scalar("", text.type)))
+
+
+class Tokens(NamedTuple):
+    """Tokens of a run of texts."""
+
+    sizes: np.ndarray  # how many each text has
+    distinct: list[bytes]  # the different ones, as they first come
+    which: np.ndarray  # which of these each token is
+
+
+def split(column: pa.Array) -> Tokens:
+    """Each text's tokens, without a Python object for each."""
+    words = _words(column)
+    coded = words.flatten().dictionary_encode()
+    # no word holds a blank, so they come over as one string
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.binary())), b" ")[0].as_py()
+    return Tokens(np.diff(words.offsets.to_numpy()).astype(np.int64), joined.split(b" ") if len(words) else [], coded.indices.to_numpy())
+
+
+def gathered(found: list[list[bytes]]) -> Tokens:
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(t, len(number)) for x in found for t in x], np.int64)
+    return Tokens(np.array([len(x) for x in found], np.int64), list(number), which)
 
 
 class Code(NamedTuple):
@@ -91,6 +119,7 @@ class Code(NamedTuple):
     bits: np.ndarray
     stretch: np.ndarray  # the node's own chance of a 1
     gate: np.ndarray  # by depth
+    packed: np.ndarray  # node, gate and bit in one number, to be read at once
 
 
 def huffman(weights: np.ndarray) -> Code:
@@ -100,15 +129,21 @@ def huffman(weights: np.ndarray) -> Code:
 def tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each node's parent and side, and each inner node's own chance of a 1."""
     n = len(weights)
-    heap = list(zip(weights.tolist(), range(n), strict=True))
-    heapq.heapify(heap)
+    order = np.argsort(weights, kind="stable")
+    # inner nodes are made in the order of their weights; of equal ones a leaf goes first
+    leaves, inner = [*weights[order].tolist(), math.inf], []
+    number, i, j = order.tolist(), 0, 0
     parent, side, mass = np.zeros(2 * n, np.int32), np.zeros(2 * n, np.int8), np.zeros((n, 2))
     for node in range(n, 2 * n - 1):
-        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[i] = parent[j] = node
-        side[j] = 1
-        mass[node - n] = a, b
-        heapq.heappush(heap, (a + b, node))
+        both = 0.0
+        for k in (0, 1):
+            if j < len(inner) and inner[j] < leaves[i]:
+                below, w, j = n + j, inner[j], j + 1
+            else:
+                below, w, i = number[i], leaves[i], i + 1
+            parent[below], side[below], mass[node - n, k] = node, k, w
+            both += w
+        inner.append(both)
     return parent, side, np.log((mass[:, 1] + ADD) / (mass[:, 0] + ADD)).astype(np.float32)
 
 
@@ -131,32 +166,54 @@ def unfolded(parent: np.ndarray, side: np.ndarray, stretch: np.ndarray) -> Code:
         place = first[symbol] + down
         nodes[place], bits[place], gate[place] = node, bit, np.minimum(down >> 1, GATES // 2 - 1)
         at = parent[at]
-    return Code(first, nodes, bits, stretch[nodes], gate)
+    return Code(first, nodes, bits, stretch[nodes], gate, nodes << 3 | gate << 1 | bits)
 
 
-class Lexicon(NamedTuple):
-    number: dict[bytes, int]  # token -> rank; the escape is len(number)
-    context: np.ndarray  # of each rank
-    code: Code
-    byte_code: Code
-    trees: tuple = ()  # of the codes, which are sent as these: they take a tenth of the room
+def _at(code: Code, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, gate and bit."""
+    packed = _take(code.packed, place)
+    return packed >> 3, packed >> 1 & GATES // 2 - 1, packed & 1
 
-    def __reduce__(self):
-        return _received, (zstandard.compress(b" ".join(self.number)), self.context, self.trees)
 
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    # all indexes lie within the array; clipping is the faster way to read
+    return values.take(at, mode="clip")
 
-def _received(names: bytes, context: np.ndarray, trees: tuple) -> Lexicon:
-    number = {t: i for i, t in enumerate(zstandard.decompress(names).split(b" "))}
-    return Lexicon(number, context, *(unfolded(*t) for t in trees), trees)
+
+class Lexicon:
+    """Names and trees, from which the rest is unfolded where it is used: the driver sends a lexicon and uses none of that."""
+
+    def __init__(self, names: bytes, trees: tuple):
+        self.names, self.trees = names, trees  # names: the tokens, compressed
+
+    @cached_property
+    def number(self) -> dict[bytes, int]:
+        """token -> rank; the escape is len(number)."""
+        return {t: i for i, t in enumerate(zstandard.decompress(self.names).split(b" "))}
+
+    @cached_property
+    def context(self) -> np.ndarray:
+        """Of each rank, and of an escape that is none."""
+        return np.array([i if i < OWN_CONTEXT else _suffix(t) for t, i in self.number.items()] + [OWN_CONTEXT], np.int32)
+
+    @cached_property
+    def code(self) -> Code:
+        return unfolded(*self.trees[0])
+
+    @cached_property
+    def byte_code(self) -> Code:
+        return unfolded(*self.trees[1])
+
+    def __reduce__(self):
+        return Lexicon, (self.names, self.trees)
 
 
 def lexicon(counted: list[bytes], counts: np.ndarray, others: int) -> Lexicon:
     """counted: tokens, most frequent first, and their counts; others: occurrences of all other training tokens."""
-    number = {t: i for i, t in enumerate(counted)}
-    letters = np.ones(256) + np.bincount(np.frombuffer(b" ".join([*counted, b""]), np.uint8), minlength=256)
-    context = np.array([i if i < OWN_CONTEXT else _suffix(t) for t, i in number.items()] + [OWN_CONTEXT], np.int32)
+    names = b" ".join([*counted, b""])
+    letters = np.ones(256) + np.bincount(np.frombuffer(names, np.uint8), minlength=256)
     trees = tree(np.append(counts, max(others, 1)).astype(np.float64)), tree(letters)
-    return Lexicon(number, context, *(unfolded(*t) for t in trees), trees)
+    return Lexicon(zstandard.compress(names[:-1]), trees)
 
 
 def _suffix(t: bytes) -> int:
@@ -165,9 +222,12 @@ def _suffix(t: bytes) -> int:
 
 def _expand(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For all decisions of the symbols in turn: the index of the symbol, the place in the code's arrays."""
-    n = code.first[symbols + 1] - code.first[symbols]
-    index = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
-    return index, np.repeat(code.first[symbols] - (np.cumsum(n, dtype=np.int64) - n).astype(np.int32), n) + np.arange(len(index), dtype=np.int32)
+    first = _take(code.first, symbols)
+    n = _take(code.first[1:], symbols) - first
+    index = np.repeat(np.arange(len(symbols)), n)
+    place = np.repeat(first - (np.cumsum(n, dtype=np.int64) - n), n)
+    place += np.arange(len(index))
+    return index, place
 
 
 def _begin(code: Code, symbols: np.ndarray) -> np.ndarray:
@@ -184,7 +244,7 @@ def _hashed(context: np.ndarray) -> np.ndarray:
 def _slot(hashed: np.ndarray, index: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """The slots of decisions in a table of 2**bits, from their symbols' contexts and their nodes."""
     h = node.view(np.uint32) * np.uint32(0x9E3779B1)
-    h ^= hashed[index]
+    h ^= _take(hashed, index)
     h *= np.uint32(0x2C1B3C6D)
     h >>= np.uint32(32 - bits)
     return h.view(np.int32)
@@ -225,20 +285,21 @@ def _previous(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place[i + 1], place[i]
 
 
-def read(found: list[list[bytes]], lex: Lexicon, match: bool = True) -> Slice:
+def read(found: list[list[bytes]] | Tokens, lex: Lexicon, match: bool = True) -> Slice:
     """match: whether to look for what the match model expects."""
-    sizes = np.array([len(x) for x in found], np.int64)
-    doc = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+    sizes, distinct, which = found if isinstance(found, Tokens) else gathered(found)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     at = (np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-    escape, get, fresh = len(lex.number), lex.number.get, {}
-    flat = [t for x in found for t in x]
-    ids = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-    spelled = np.flatnonzero(ids < 0)
-    rare = [flat[i] for i in spelled]
-    ids[spelled] = [escape + 1 + fresh.setdefault(t, len(fresh)) for t in rare]
+    escape = len(lex.number)
+    known = np.fromiter(map(lex.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+    fresh = np.flatnonzero(known < 0)
+    rare = [distinct[i] for i in fresh]
+    known[fresh] = escape + 1 + np.arange(len(rare))
+    classes = lex.context[np.minimum(known, escape)]
+    classes[fresh] = [_suffix(t) for t in rare]
+    ids, own = known[which], classes[which]
+    spelled = np.flatnonzero(ids > escape)
     symbol = np.minimum(ids, escape).astype(np.int32)
-    own = lex.context[symbol]
-    own[spelled] = [_suffix(t) for t in rare]
     context = np.full(len(doc), OWN_CONTEXT, np.int32)
     context[1:] = np.where(at[1:] > 0, own[:-1], OWN_CONTEXT)
     # of two tokens by what they are, not by their classes
@@ -251,11 +312,10 @@ def read(found: list[list[bytes]], lex: Lexicon, match: bool = True) -> Slice:
     guess = np.full(len(doc), -1, np.int32)
     later = np.flatnonzero(at >= 2)
     if match and len(later):
-        pair = (ids[later - 2] * (escape + 2 + len(fresh)) + ids[later - 1]) * len(found) + doc[later]
+        pair = (ids[later - 2] * (escape + 2 + len(fresh)) + ids[later - 1]) * len(sizes) + doc[later]
         now, last = _previous(pair)
         guess[later[now]] = symbol[later[last]]
     # bytes of the different escaped tokens, with contexts that begin anew at each
-    rare = list(fresh)
     letters = np.frombuffer(b" ".join([*rare, b""]), np.uint8).astype(np.int32) if rare else np.zeros(0, np.int32)
     lengths = np.array([len(t) + 1 for t in rare], np.int64)
     inside = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -301,15 +361,15 @@ def count(s: Slice, lex: Lexicon, into: list[np.ndarray], said: list[np.ndarray]
     flat = [t.T.reshape(-1) for t in into]
     code = lex.code
     index, place = _expand(code, s.symbol)
-    node, bit = code.nodes[place], code.bits[place]
+    node, _, bit = _at(code, place)
     slots = [_slot(_hashed(c), index, node, BITS[k]).astype(np.int64) for k, c in enumerate((s.context, s.further))]
     if said is not None:
-        on, other = _matching(s.symbol, s.guess, code, index, place, node)
+        on, other = _matching(s.symbol, s.guess, code, place, node)
         first, second = (_level(flat[k], slot) for k, slot in enumerate(slots))
         first *= np.float32(SAID[4] * 2)
         second *= np.float32(2)
         first += second
-        cell = own[place]
+        cell = _take(own, place)
         cell += first.astype(np.int32)
         cell[on] += (code.bits[other].astype(np.int32) + np.int32(1)) * np.int32(SAID[2] * SAID[3] * SAID[4] * 2)
         cell += np.int32(LEVELS * (SAID[4] + 1) * 2)
@@ -357,8 +417,7 @@ def _came(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 
 def _told(stretch: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    # all slots lie within the table; clipping is the faster way to read
-    return stretch.take(slot, mode="clip").astype(np.float32, copy=False)
+    return _take(stretch, slot).astype(np.float32, copy=False)
 
 
 def _byte_inputs(s: Slice, m: Model) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -367,12 +426,16 @@ def _byte_inputs(s: Slice, m: Model) -> tuple[np.ndarray, list[np.ndarray], np.n
     return index, [_told(m.stretch[k], _slot(_hashed(c), index, node, BITS[k])) for k, c in enumerate(s.letter_contexts, 2)], m.lex.byte_code.bits[place]
 
 
-def _matching(symbol: np.ndarray, guess: np.ndarray, code: Code, index: np.ndarray, place: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _matching(symbol: np.ndarray, guess: np.ndarray, code: Code, place: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The decisions at which the match model speaks, and the expected token's places in the code there."""
+    token = np.flatnonzero(guess >= 0)
+    own, expected = symbol[token], guess[token]
+    n = (code.first[own + 1] - code.first[own]).astype(np.int64)
+    on = np.repeat(_begin(code, symbol)[token] - (np.cumsum(n) - n), n)
+    on += np.arange(len(on))
     # while the expected token's code has agreed with all decisions so far
-    on = np.flatnonzero((guess >= 0)[index])
-    other = (code.first[guess] - code.first[symbol])[index[on]] + place[on]
-    agrees = (other < code.first[guess + 1][index[on]]) & (code.nodes[np.minimum(other, len(code.nodes) - 1)] == node[on])
+    other = np.repeat(code.first[expected].astype(np.int64) - code.first[own], n) + place[on]
+    agrees = (other < np.repeat(code.first[expected + 1], n)) & (_take(code.nodes, other) == node[on])
     return on[agrees], other[agrees]
 
 
@@ -381,11 +444,11 @@ def _token_inputs(s: Slice, m: Model, chosen: np.ndarray) -> tuple:
     code = m.lex.code
     symbol, guess = s.symbol[chosen], s.guess[chosen]
     index, place = _expand(code, symbol)
-    node, gate = code.nodes[place], code.gate[place]
-    on, other = _matching(symbol, guess, code, index, place, node)
+    node, gate, bit = _at(code, place)
+    on, other = _matching(symbol, guess, code, place, node)
     gate[on] += GATES // 2
-    inputs = [code.stretch[place], *(_told(m.stretch[k], _slot(_hashed(c[chosen]), index, node, BITS[k])) for k, c in enumerate((s.context, s.further)))]
-    return index, inputs, code.bits[place], gate, on, 2.0 * code.bits[other].astype(np.float32) - 1
+    inputs = [_take(code.stretch, place), *(_told(m.stretch[k], _slot(_hashed(c[chosen]), index, node, BITS[k])) for k, c in enumerate((s.context, s.further)))]
+    return index, inputs, bit.astype(np.int8), gate, on, 2.0 * code.bits[other].astype(np.float32) - 1
 
 
 def bits(s: Slice, m: Model, n_docs: int, rate: float = RATE) -> np.ndarray:
@@ -404,10 +467,14 @@ def bits(s: Slice, m: Model, n_docs: int, rate: float = RATE) -> np.ndarray:
             continue
         chosen = order[lo:hi]
         index, x, bit, gate, on, says = _token_inputs(s, m, chosen)
-        cell = (s.doc[chosen] * np.int64(GATES))[index] + gate
-        z = w[0][cell] * x[0]
-        for v, a in zip(w[1:], x[1:], strict=False):
-            z += v[cell] * a
+        cell = _take(s.doc[chosen] * np.int64(GATES), index)
+        cell += gate
+        z = _take(w[0], cell)
+        z *= x[0]
+        for v, a in zip(w[1:-1], x[1:], strict=True):
+            told = _take(v, cell)
+            told *= a
+            z += told
         z[on] += w[-1][cell[on]] * says
         p = _came(z, bit)
         total -= np.bincount(s.doc[chosen], np.add.reduceat(np.log(p), _begin(m.lex.code, s.symbol[chosen])), minlength=n_docs)
@@ -517,18 +584,19 @@ def token_counts(training: DataFrame) -> DataFrame:
     """token, n over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+            found = pc.value_counts(pa.chunked_array(held))
             held.clear()
-            return made
+            return pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["token", "n"])
 
         for batch in slices(batches):
-            for t in _raw(batch.column(0)):
-                held.update(tokens(t))
-            if len(held) > 400_000:
+            held.append(_words(batch.column(0)).flatten())
+            size += held[-1].nbytes
+            if size > COUNTED_BYTES:
                 yield out()
+                size = 0
         if held:
             yield out()
 
@@ -540,13 +608,13 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + ADD) / (zeros + ADD)).astype("<f2")
 
 
-def _pack(counts: np.ndarray) -> bytes:
+def _pack(counts: np.ndarray, kind: str = "<u4") -> bytes:
     """Byte by byte of all numbers: most have but one that is not 0."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype(kind).view(np.uint8).reshape(-1, int(kind[2])).T))
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _unpack(raw: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(int(kind[2]), -1).T).view(kind).ravel().astype(np.int64)
 
 
 def tables(training: DataFrame, lex: Lexicon, n_tokens: int) -> Model:
@@ -560,12 +628,12 @@ def tables(training: DataFrame, lex: Lexicon, n_tokens: int) -> Model:
         into, said, seen = no_counts(), nothing_said(), 0
         own = own_levels(sent.value.code)
         for batch in slices(batches, most_bytes=1 << 18):
-            texts = _raw(batch.column(0))
+            texts = batch.column(0)
             at = 0
             while at < len(texts):
                 # no more texts at once than have been counted: the later ones would say nothing of each other
-                some = texts[at : at + max(1, seen)]
-                count(read([tokens(t) for t in some], sent.value), sent.value, into, said, own)
+                some = texts.slice(at, max(1, seen))
+                count(read(split(some), sent.value), sent.value, into, said, own)
                 at, seen = at + len(some), seen + len(some)
         if seen:
             k = 0
@@ -586,22 +654,27 @@ def tables(training: DataFrame, lex: Lexicon, n_tokens: int) -> Model:
                 c = _unpack(raw)
                 held[k] = held[k] + c if k in held else c
         for k, c in held.items():
-            made = stretched(*c.reshape(2, CHUNK)) if k < n_tokens_chunks else c
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([made.tobytes()], pa.binary())], names=["chunk", "made"])
+            # sums over all tasks may be beyond 32 bits
+            made = stretched(*c.reshape(2, CHUNK)).tobytes() if k < n_tokens_chunks else _pack(c, "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([made], pa.binary())], names=["chunk", "made"])
 
     few = max(spark.sparkContext.defaultParallelism, n_tokens // TASK_TOKENS)
     parts = training.select("text").coalesce(few).mapInArrow(run, "chunk int, counts binary").repartition(n_chunks, "chunk").mapInArrow(add, "chunk int, made binary").collect()
-    stretch, sums = np.zeros((n_tokens_chunks, CHUNK), np.float16), np.zeros((n_chunks - n_tokens_chunks + n_said, 2, CHUNK), np.int64)
-    for k, raw in parts:
+    # chunk by chunk, as the driver has little room
+    stretch, of_bytes, all_said = np.zeros((n_chunks, CHUNK), "<f2"), np.zeros((2, n_chunks - n_tokens_chunks, CHUNK), np.float32), np.zeros((n_said, 2 * CHUNK), np.int64)
+    while parts:
+        k, raw = parts.pop()
         if k < n_tokens_chunks:
             stretch[k] = np.frombuffer(raw, "<f2")
+        elif k < n_chunks:
+            c = _unpack(raw, "<u8").reshape(2, CHUNK)
+            stretch[k], of_bytes[:, k - n_tokens_chunks] = stretched(*c), c
         else:
-            sums[k - n_tokens_chunks] = np.frombuffer(raw, np.int64).reshape(2, CHUNK)
-    of_bytes = np.split(sums[:-n_said].transpose(1, 0, 2).reshape(2, -1), np.cumsum([1 << b for b in BITS[2:]])[:-1], axis=1)
-    all_said = sums[-n_said:].ravel()
-    weights, byte_weights = fitted([all_said[: math.prod(SAID)], all_said[math.prod(SAID) :][: math.prod(SAID_BYTES)]])
-    both = [*np.split(stretch.ravel(), np.cumsum([1 << b for b in BITS[:2]])[:-1]), *(stretched(*c) for c in of_bytes)]
-    return Model(lex, both, weights, byte_weights, tuple(c.astype(np.float32) for c in of_bytes))
+            all_said[k - n_chunks] = _unpack(raw, "<u8")
+    said = all_said.ravel()
+    weights, byte_weights = fitted([said[: math.prod(SAID)], said[math.prod(SAID) :][: math.prod(SAID_BYTES)]])
+    both = np.split(stretch.ravel(), np.cumsum([1 << b for b in BITS])[:-1])
+    return Model(lex, both, weights, byte_weights, tuple(np.split(of_bytes.reshape(2, -1), np.cumsum([1 << b for b in BITS[2:]])[:-1], axis=1)))
 
 
 def _escapes(tail: DataFrame, n_tail: int) -> np.ndarray:
@@ -650,10 +723,10 @@ def report(docs: DataFrame, most_lexicon: int = LEXICON, most_tuning: int | None
         task = TaskContext.get().partitionId() << 40
         row = 0
         for batch in slices(batches, most_bytes=1 << 20):
-            texts = _raw(batch.column(1))
-            found = [tokens(t) for t in texts]
+            texts = batch.column(1)
+            found = split(texts)
             s = read(found, m.lex)
-            k = len(found)
+            k = len(texts)
             length = bits(s, m, k)
             gate, recall = recalled(s)
             plain = np.flatnonzero(s.symbol < known)
@@ -671,9 +744,9 @@ def report(docs: DataFrame, most_lexicon: int = LEXICON, most_tuning: int | None
             each = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array((2 * gate + recall)[order].astype(np.float32)))
             parts = [pa.array(s.rare, pa.binary()).take(pa.array(which)), pa.array(spelled(s, m)[which]), pa.array(alone), each]
             tails = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["token", "spelled", "alone", "recall"]))
-            size = np.array([max(1, len(t or b"")) for t in texts], np.int64)
+            size = np.maximum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(task + row + np.arange(k)), pa.array(np.array([len(x) for x in found], np.int64)), pa.array(n_head.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(-length * math.log10(2)), pa.array(size), tails],
+                [batch.column(0), batch.column(2), pa.array(task + row + np.arange(k)), pa.array(found.sizes), pa.array(n_head.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(-length * math.log10(2)), pa.array(size), tails],
                 names=["doc_id", "held_out", "row", "n_tokens", "n_head", "head", "coded", "n_bytes", "tail"],
             )
             row += k

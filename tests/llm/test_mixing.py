@@ -1,9 +1,12 @@
+import heapq
 import math
 import pickle
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import mixing
@@ -283,3 +286,43 @@ def test_long_words_cost_what_their_spelling_costs(frame, sample):
     held = [i for i in range(len(docs), len(docs) + 60) if zlib.crc32(str(i).encode()) % 10 == 0]
     rows = {r.doc_id: r.score for r in mixing.report(frame([*enumerate(docs), (held[0], word[:40]), (held[1], word)])).collect()}
     assert rows[held[1]] < 30 * rows[held[0]] < 0
+
+
+def test_split_is_tokens(texts):
+    """All texts at once by Arrow, from any slice of a column."""
+    odd = ["A b", "", None, "  x ", " ", "\x1c y\x0bz\x0c", "Ünï CÖ d e f", "a b a\n", "\t\r\n", "İ ẞ K"] + texts[:50]
+    want = mixing.gathered([mixing.tokens(t) for t in odd])
+    for kind in (pa.string(), pa.large_string()):
+        got = mixing.split(pa.array(["before", *odd, "after"], kind).slice(1, len(odd)))
+        assert got.distinct == want.distinct and (got.which == want.which).all() and (got.sizes == want.sizes).all()
+    none = mixing.split(pa.array([], pa.string()))
+    assert len(none.sizes) == len(none.which) == 0 and none.distinct == []
+
+
+def test_the_tree_is_the_heap_s():
+    """Of equal weights the leaf goes first, then what was made first."""
+    for n in (1, 2, 3, 50, 3000):
+        weights = np.random.default_rng(n).integers(1, 20, n).astype(float)
+        heap, parent = [(w, i) for i, w in enumerate(weights.tolist())], np.zeros(2 * n, np.int32)
+        heapq.heapify(heap)
+        for node in range(n, 2 * n - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = node
+            heapq.heappush(heap, (a + b, node))
+        assert (mixing.tree(weights)[0] == parent).all()
+
+
+def test_the_driver_holds_little(frame, sample, monkeypatch):
+    """It only sends the code, unfolded where it is used, and takes the tables chunk by chunk."""
+
+    def refused(*a):
+        raise AssertionError("the driver needs no unfolded code")
+
+    monkeypatch.setattr(mixing, "unfolded", refused)
+    tracemalloc.start()
+    try:
+        rows = mixing.report(frame([r.text for r in sample.collect()]))
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    assert all(r.score < 0 for r in rows.collect())
